@@ -109,13 +109,14 @@ def default_rules(text: Column) -> list[Rule]:
 
 
 def sample_of(df: DataFrame, text_col: str, rows: int, seed: int = 7) -> DataFrame:
-    """At most ``rows`` texts for the estimates; a sampled limit reads only the first partitions it needs."""
-    return df.select(common.text_or_empty(text_col).alias("text")).sample(fraction=0.25, seed=seed).limit(rows)
+    """At most ``rows`` texts for the estimates, in a local table; taking them reads only the first partitions needed."""
+    texts = df.select(common.text_or_empty(text_col).alias("text")).sample(fraction=0.25, seed=seed).take(rows)
+    return df.sparkSession.createDataFrame([(r.text,) for r in texts], "text string").coalesce(1)
 
 
 def order_rules(df: DataFrame, make_rules, text_col: str = "text", sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
     """(rule, cost, rejected share) on a sample of at most ``sample_rows`` rows, best rejection per cost first."""
-    texts = common.written(sample_of(df, text_col, sample_rows).coalesce(1), "quality-sample")
+    texts = sample_of(df, text_col, sample_rows)
     rules = make_rules(F.col("text"))
     total = max(1, texts.count())
     measured = []
