@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, exact_dedup, quality_rules, secret_scan, source_mix, token_files, warc_zip
+from . import bpe_automaton, exact_dedup, jaccard_join, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, token_files, warc_zip
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_secret_scan": secret_scan.query,
+    "op3_ppm": ppm.query,
     "op4_token_files": token_files.query,
     "op5_warc_zip": warc_zip.query,
     "op6_quality_rules": quality_rules.query,
     "op7_source_mix": source_mix.query,
     "op8_bpe_automaton": bpe_automaton.query,
+    "op9_jaccard_join": jaccard_join.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
