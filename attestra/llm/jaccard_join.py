@@ -28,7 +28,7 @@ from .shingles import finish, shingle_sets
 GROUPS = 64
 BINS, ROWS = 36, 3  # one-permutation minhash bins, and bins in a band
 PERCENT = 75
-COMMON_SHARE = 0.002  # shingles of more than this share of rows come last in the order
+COMMON_SHARE = 0.0003  # shingles of more than this share of rows come last in the order
 FILTER_BITS = 1 << 26  # of the broadcast filter, whatever the input; more set bits only let more rows through
 LEAF, FAN = 32, 8
 NONE = np.iinfo(np.int64).min
@@ -107,7 +107,28 @@ def _texts(batch) -> list[bytes]:
     return batch.column(1).cast(pa.binary()).to_pylist()
 
 
-PROFILE = "id long, n long, set_id long, counts binary, bands array<long>, common long, times long"
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts in as many groups as half the set's size or more, one byte each (255 stands for more)."""
+    groups = max(GROUPS, 1 << (len(s) // 2).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """At most so many shingles are shared; the finer counts are folded to the coarser ones' groups."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    full = (x.max() == 255) | (y.max() == 255)
+    if full:  # such a count has no upper bound
+        x, y = np.where(x == 255, 1 << 40, x), np.where(y == 255, 1 << 40, y)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+PROFILE = "id long, n long, set_id long, counts binary, fine binary, bands array<long>, common long, times long"
+
+NAMES = ["id", "n", "set_id", "counts", "fine", "bands", "common", "times"]
 
 
 def _profile(share: float, block_docs: int):
@@ -117,16 +138,17 @@ def _profile(share: float, block_docs: int):
         filled = [s if len(s) else None for s in sets]
         keys = [None if s is None else int(_signed(set_key(s))) for s in filled]
         counts = [None if s is None else np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in filled]
+        fine = [None if s is None else fine_counts(s) for s in filled]
         bands = [[] if s is None else _signed(np.array(_bands(s), np.uint64)).tolist() for s in filled]
         empty = pa.nulls(len(ids), pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), pa.array(bands, pa.list_(pa.int64())), empty, empty], names=["id", "n", "set_id", "counts", "bands", "common", "times"])
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), pa.array(bands, pa.list_(pa.int64())), empty, empty], names=NAMES)
 
     def frequent(held, docs):
         values, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= max(4, share * docs)
         k = int(often.sum())
         no = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([no, no, no, pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(values[often])), pa.array(times[often], pa.int64())], names=["id", "n", "set_id", "counts", "bands", "common", "times"])
+        return pa.RecordBatch.from_arrays([no, no, no, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(values[often])), pa.array(times[often], pa.int64())], names=NAMES)
 
     def run(batches):
         held, docs, size = [], 0, 0
@@ -331,6 +353,14 @@ def _filter_bits(rows: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(whole)
 
 
+def _refine(batches):
+    """The pairs (a, b) that the fine counts cannot rule out."""
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        out = [(a, b) for a, b, n, m, x, y in rows if fine_bound(x, y) >= least_overlap(n, m)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
 def _verify(batches):
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -353,12 +383,14 @@ class _Join:
         # a third of all rows may be one set: minima are combined before the shuffle
         self.profile = common.written(docs.mapInArrow(_profile(COMMON_SHARE, 8192), PROFILE), "profiles")
         rows = self.profile.filter("set_id is not null")
-        self.nodes = common.written(rows.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("counts").alias("counts"), F.first("bands").alias("bands")), "sets")
+        self.nodes = common.written(rows.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"), F.first("bands").alias("bands")), "sets")
         self.links = None
 
     def verified(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are links; their sets are made again from the texts."""
-        pairs = common.written(pairs.distinct(), "pairs")
+        side = lambda k: self.nodes.select(F.col("set_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("fine").alias(f"{k}_fine"))
+        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_fine", "b_fine")
+        pairs = common.written(pairs.mapInArrow(_refine, "a long, b long"), "pairs")
         ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         wanted = self.nodes.join(ids, "set_id", "left_semi").select("set_id", "rep")
         sets = self.docs.mapInArrow(_sets_of(_filter_bits(wanted)), "set_id long, body binary").dropDuplicates(["set_id"])
