@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, before the next step adds its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """The POSIX path of a file: URI (or plain path); index and archive files need a shared folder that is mounted."""
     parts = urlparse(uri)

@@ -1,9 +1,10 @@
 """Dedup of long repeated passages with run-length compressed Burrows-Wheeler indexes.
 
 One index of a whole corpus does not fit a task, so texts are cut where they can match.  Any 50 bytes hold an anchor, the
-20 bytes of least hash among their 31, and equal strings have equal anchors.  Anchors that occur twice or more in the
-corpus are put in a bit map of fixed size.  The bytes around such an anchor, its context, hold every 50-byte string that
-it anchors.  Contexts meet by anchor; distinct contexts, each with the least document it comes from, are put in run-length
+20 bytes of least hash among their 31, and equal strings have equal anchors.  Such a string also holds the 15 bytes before
+or the 15 bytes after its anchor; these extended anchors are put in a bit map of fixed size when they occur twice or more
+in the corpus.  The bytes around an anchor with a marked extension, its context, hold every 50-byte string that it
+anchors.  Contexts meet by anchor; distinct contexts, each with the least document it comes from, are put in run-length
 indexes block by block and streamed through them, which tells for each 50-byte string of a context the least document
 where it starts.  Occurrences of contexts then learn which of their strings start in a smaller document.
 
@@ -30,7 +31,8 @@ LONG = 50  # bytes of a repeated string
 ANCHOR = 20
 SPAN = LONG - ANCHOR + 1  # anchors in such a string
 CHUNK = 1 << 20  # bytes whose anchors are found at once
-MAP_BITS = 27  # the anchors' bit map has 2**27 bits for any input; more set bits only send more contexts
+SIDE = (LONG - ANCHOR) // 2  # one side of the anchor has so many bytes of the string or more
+MAP_BITS = 28  # the anchors' bit map has 2**28 bits for any input; more set bits only send more contexts
 RANGES = 64
 BLOCK = 1 << 20  # bytes of contexts in an index
 NONE = np.iinfo(np.int64).min
@@ -47,8 +49,11 @@ def _sliding(x: np.ndarray, f) -> np.ndarray:
     return f(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, 64-bit hashes) of each text's anchors; texts of fewer than LONG bytes have none."""
+def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
+    """(places, 64-bit hashes, hashes with the bytes before, with those after) of each text's anchors.
+
+    An extension that the text is too short for has hash 0.  Texts of fewer than LONG bytes have no anchors.
+    """
     out: list = []
     held: list[bytes] = []
     size = 0
@@ -62,7 +67,7 @@ def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _anchors(texts: list[bytes]):
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    none = (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3)))
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw)
     if n < LONG:
@@ -79,10 +84,13 @@ def _anchors(texts: list[bytes]):
     low[crossing] = 0
     padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), low, np.zeros(SPAN - 1, np.uint64)])
     at = np.flatnonzero(_sliding(padded, np.maximum) == h)
-    hashes = h[at]
     cut = np.searchsorted(at, ends)
     first = np.r_[0, cut[:-1]]
-    return [(at[a:b] - (e - s), hashes[a:b]) for a, b, e, s in zip(first, cut, ends, sizes, strict=True)]
+    begin, end = np.repeat(ends - sizes, cut - first), np.repeat(ends, cut - first)
+    before = np.where(at - SIDE >= begin, finish((sums[at + ANCHOR] - sums[np.maximum(at - SIDE, 0)]) * down[np.maximum(at - SIDE, 0)]), 0)
+    after = np.where(at + ANCHOR + SIDE <= end, finish((sums[np.minimum(at + ANCHOR + SIDE, n)] - sums[at]) * down[at] + np.uint64(1)), 0)
+    parts = (at - begin, h[at], before, after)
+    return [tuple(x[a:b] for x in parts) for a, b in zip(first, cut, strict=True)]
 
 
 def _texts(batch, column: int) -> list[bytes]:
@@ -90,7 +98,7 @@ def _texts(batch, column: int) -> list[bytes]:
 
 
 def _dealt(batches):
-    """Anchor hashes (at most twice each) of a block of texts, sorted, cut into ranges: (range, hashes)."""
+    """Extended anchors' hashes (at most twice each) of a block of texts, sorted, cut into ranges: (range, hashes)."""
     held, size = [], 0
 
     def give():
@@ -101,11 +109,12 @@ def _dealt(batches):
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["range", "hashes"])
 
     for batch in batches:
-        held += [h for _, h in anchors(_texts(batch, 0))]
-        size = sum(map(len, held))
-        if size > 1_000_000:
-            yield give()
-            held = []
+        for _, _, before, after in anchors(_texts(batch, 0)):
+            held += [before[before > 0], after[after > 0]]
+            size += 2 * len(before)
+            if size > 2_000_000:
+                yield give()
+                held, size = [], 0
     if held:
         yield give()
 
@@ -137,9 +146,13 @@ def shared_anchors(texts: DataFrame) -> bytes:
 
 def _contexts(texts: list[bytes], mask: np.ndarray):
     """For each text: (places, hashes) of its marked anchors."""
-    for at, h in anchors(texts):
+
+    def marked(h: np.ndarray) -> np.ndarray:
         bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-        on = (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        return ((mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & (h > 0)
+
+    for at, h, before, after in anchors(texts):
+        on = marked(before) | marked(after)
         yield at[on], h[on]
 
 
@@ -316,11 +329,17 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = common.owners_for(df.sparkSession)
     contexts = docs.mapInArrow(_distinct(bits), "anchor long, key long, context binary, least long, greatest long")
     answers = contexts.repartition(owners, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(_answers, "key long, least binary")
+    common.release(df.sparkSession)  # the anchors' shuffle
+    answers = common.written(answers, "repeated-strings")
+    del contexts
+    common.release(df.sparkSession)  # the contexts' shuffle
     named = docs.select("id", "text", F.xxhash64("id", "text").alias("row"))
     found = named.mapInArrow(_occurrences(bits), "key long, row long, doc long, begin int, size int").join(answers, "key")
     spans = found.select("row", "doc", "begin", "size", "least").mapInArrow(_spans, "row long, begin int, end int")
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     spans = common.written(spans, "repeated-spans")
+    del found
+    common.release(df.sparkSession)
     joined = named.join(spans.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
     out = "id long, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary"
     rows = joined.mapInArrow(_removed, out)
