@@ -391,6 +391,7 @@ class _Join:
         side = lambda k: self.nodes.select(F.col("set_id").alias(k), F.col("n").alias(f"{k}_n"), F.col("fine").alias(f"{k}_fine"))
         pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_fine", "b_fine")
         pairs = common.written(pairs.mapInArrow(_refine, "a long, b long"), "pairs")
+        common.release(self.spark)
         ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         wanted = self.nodes.join(ids, "set_id", "left_semi").select("set_id", "rep")
         sets = self.docs.mapInArrow(_sets_of(_filter_bits(wanted)), "set_id long, body binary").dropDuplicates(["set_id"])
@@ -398,6 +399,8 @@ class _Join:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_body", "b_body")
         new = common.written(joined.mapInArrow(_verify, "u long, v long"), "links")
         self.links = new if self.links is None else self.links.unionByName(new)
+        del sets, joined
+        common.release(self.spark)
         self.comps = common.written(components(self.links), "components")
 
     def stars(self) -> None:
@@ -417,6 +420,8 @@ class _Join:
         dealt = self.docs.mapInArrow(_prefixes(body), "sig long, set_id long, n int")
         shared = dealt.repartition(common.owners_for(self.spark), "sig").sortWithinPartitions("sig", "set_id").mapInArrow(_shared, "sig long, set_id long, n int")
         self.shared = common.written(shared, "blocks")
+        del dealt, shared
+        common.release(self.spark)
 
     def round(self, most: int, done: DataFrame | None) -> tuple[int, DataFrame]:
         """Verify candidates between components; ``done``: pairs verified in earlier rounds."""
@@ -429,6 +434,8 @@ class _Join:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = common.written(pairs, "candidates")
+        del rows, mixed
+        common.release(self.spark)
         count = pairs.count()
         if count:
             self.verified(pairs)
