@@ -81,7 +81,7 @@ def j4(spark, d):
 
 
 @query("j5_nearest_match", """SELECT event_id, user_id, target, distance FROM (SELECT e.event_id, e.user_id, e.ts, p.event_id AS target, abs(epoch_us(e.ts) - epoch_us(p.ts)) / 1e6 AS distance,
-  row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - epoch_us(p.ts)), p.event_id) AS n FROM events e JOIN events p USING (user_id) WHERE e.event_type = 'error' AND p.event_type = 'click' AND abs(epoch_us(e.ts) - epoch_us(p.ts)) <= 86400 * 1000000) WHERE n = 1""")
+  row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - epoch_us(p.ts)), p.event_id) AS n FROM events e JOIN events p USING (user_id) WHERE e.event_type = 'error' AND p.event_type = 'click' AND abs(epoch_us(e.ts) - epoch_us(p.ts)) <= 86400000000) WHERE n = 1""")
 def j5(spark, d):
     e = _events(spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     anchors = e.filter("event_type = 'error'").select("event_id", "user_id", "at")
@@ -388,7 +388,7 @@ def d30(spark, d):
     return R.used(_lines(spark, d).select("l_orderkey", "l_partkey"), parts, "l_partkey").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("allowed"))
 
 
-@query("w7_event_windows", "SELECT (epoch(ts)::BIGINT // 3600) * 3600 AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("w7_event_windows", "SELECT (epoch_us(ts) // 3600000000) * 3600 AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def w7(spark, d):
     """The batch form of the stream in ``attestra.streaming.events``; beyond what the survey's system has."""
     rows = _events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
