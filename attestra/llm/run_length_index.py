@@ -28,6 +28,8 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class RunLengthIndex:
     def __init__(self, texts: list[bytes], owners: np.ndarray, depth: int):
+        if depth < PACK:
+            raise ValueError(f"depth is at least {PACK}")
         self.depth, self.count = depth, len(texts)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
