@@ -90,7 +90,7 @@ class ZipReader:
         tail_at = max(0, self.length - 22 - 0xFFFF)  # a comment of up to 65,535 bytes may follow
         tail = self.range(tail_at, self.length - tail_at)
         at = tail.rfind(struct.pack("<I", END))
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(struct.pack("<I", END), 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
