@@ -9,7 +9,7 @@ A single tree cannot be spread over a cluster, so sets are first dealt into bloc
 needs overlap of at least 3/4 of either set, so two linked sets share one of their first n - ceil(3n/4) + 1 shingles in
 any common order (shingles of very many documents last, then by hash).  Each of these shingles is a block: no link is
 lost.  Before that, equal sets are collapsed and sets that share minhash bands are verified against the block's first and
-last set; this finds most links in linear time.  Blocks then look only at pairs of sets that are not connected yet, in
+last set; this finds most links in linear time.  Blocks then look only at pairs of sets that are not connected yet,
 rounds that hand out few, more and finally all surviving candidates, best bound first.
 """
 
@@ -241,12 +241,35 @@ def _shared(batches):
 def _candidates(most: int):
     """Of blocks, rows sorted by (sig, n): pairs of sets of different components that an R-tree cannot rule out.
 
-    A block is read in order of size, and sets too small to be linked with what follows leave the window.  ``most``: for
-    each set and each other component, how many candidates are handed out, best bound first; 0: all.
+    Blocks that fit one leaf are compared as leaves, all of a batch together; larger ones get a tree.  ``most``: for each
+    set of a larger block and each other component, how many candidates are handed out, best bound first; 0: all.
     """
 
-    def of_block(rows):
-        keys, comps, sizes, points = rows
+    def fits(n, m):
+        return np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT
+
+    def of_leaves(sig, keys, sizes, comps, points):
+        found = []
+        for step in range(1, LEAF):
+            i = np.flatnonzero(sig[step:] == sig[:-step])
+            if not len(i):
+                break
+            j = i + step
+            ok = (comps[i] != comps[j]) & fits(sizes[i], sizes[j])
+            found.append(np.stack([i[ok], j[ok]]))
+        if not found:
+            return []
+        i, j = np.concatenate(found, axis=1)
+        a, b = np.maximum(keys[i], keys[j]), np.minimum(keys[i], keys[j])
+        _, first = np.unique(np.stack([a, b]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+        out = []
+        for part in np.array_split(first, max(1, len(first) // 20_000)):
+            x, y = i[part], j[part]
+            ok = np.minimum(points[x], points[y]).sum(1) >= least_overlap(sizes[x], sizes[y])
+            out += zip(a[part][ok].tolist(), b[part][ok].tolist(), strict=True)
+        return out
+
+    def of_block(keys, sizes, comps, points):
         if (comps == comps[0]).all():
             return []
         out = []
@@ -262,19 +285,20 @@ def _candidates(most: int):
                 start = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1]
                 place = np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
                 found = found[rank[place < most]]
-            out += [(int(keys[i]), int(keys[j])) for j in found]
+            out += [(max(int(keys[i]), int(keys[j])), min(int(keys[i]), int(keys[j]))) for j in found]
         return out
 
     def run(batches):
-        held: list[list] = []
-        sig = None
         pairs: set = set()
+        held: list = []
 
-        def close():
-            if len(held) > 1:
-                keys, comps, sizes = (np.array([r[i] for r in held], np.int64) for i in range(3))
-                points = np.frombuffer(b"".join(r[3] for r in held), "<u4").reshape(len(held), GROUPS).astype(np.int64)
-                pairs.update(of_block((keys, comps, sizes, points)))
+        def blocks(sig, keys, sizes, comps, points):
+            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            width = np.diff(np.r_[first, len(sig)])
+            small = np.repeat(width <= LEAF, width)
+            pairs.update(of_leaves(*(x[small] for x in (sig, keys, sizes, comps, points))))
+            for at, n in zip(first[width > LEAF].tolist(), width[width > LEAF].tolist(), strict=True):
+                pairs.update(of_block(*(x[at : at + n] for x in (keys, sizes, comps, points))))
 
         def give():
             rows = list(pairs)
@@ -282,14 +306,21 @@ def _candidates(most: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["a", "b"])
 
         for batch in batches:
-            for s, key, n, comp, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != sig:
-                    close()
-                    held, sig = [], s
-                held.append([key, comp, n, counts])
+            if not batch.num_rows:
+                continue
+            sig, keys, sizes, comps = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            points = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4").reshape(len(sig), GROUPS).astype(np.int32)
+            held.append((sig, keys, sizes, comps, points))
+            if sig[0] == sig[-1] == held[0][0][-1]:  # the block may go on
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            blocks(*(x[:cut] for x in whole))
+            held = [tuple(x[cut:] for x in whole)]
             if len(pairs) > 200_000:
                 yield give()
-        close()
+        if held:
+            blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield give()
 
     return run
@@ -454,7 +485,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     join.stars()
     join.blocks()
     done = None
-    for most in (4, 64, 0):
+    for most in (4, 0):
         count, done = join.round(most, done)
         if not count:
             break
