@@ -9,8 +9,8 @@ A single tree cannot be spread over a cluster, so sets are first dealt into bloc
 needs overlap of at least 3/4 of either set, so two linked sets share one of their first n - ceil(3n/4) + 1 shingles in
 any common order (shingles of very many documents last, then by hash).  Each of these shingles is a block: no link is
 lost.  Before that, equal sets are collapsed and sets that share minhash bands are verified against the block's first and
-last set; this finds most links in linear time.  Blocks then look only at pairs of sets that are not connected yet,
-rounds that hand out few, more and finally all surviving candidates, best bound first.
+last set; this finds most links in linear time.  Blocks then look only at pairs of sets that are not connected
+yet: first at the few candidates of best bound for each set, then at all that survive.
 """
 
 from __future__ import annotations
