@@ -14,7 +14,7 @@ is one row a partition; occurrences and answers meet in a join that the adaptive
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +161,8 @@ def _signed(values) -> pa.Array:
 
 
 def _distinct(bits: bytes, most: int = 150_000):
-    """(anchor, key, context, least and greatest document) of a partition's contexts, each once while they fit."""
+    """(anchor, key, context, anchor's place in it, least and greatest document) of a partition's contexts, each once while
+    they fit."""
     mask = np.frombuffer(bits, np.uint8)
 
     def run(batches):
@@ -171,18 +172,19 @@ def _distinct(bits: bytes, most: int = 150_000):
             rows = list(seen.values())
             keys = list(seen)
             seen.clear()
-            return pa.RecordBatch.from_arrays([_signed([r[0] for r in rows]), _signed(keys), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["anchor", "key", "context", "least", "greatest"])
+            return pa.RecordBatch.from_arrays([_signed([r[0] for r in rows]), _signed(keys), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["anchor", "key", "context", "at", "least", "greatest"])
 
         for batch in batches:
             ids = batch.column(0).fill_null(NONE).to_pylist()
             texts = _texts(batch, 1)
             for i, t, (places, hashes) in zip(ids, texts, _contexts(texts, mask), strict=True):
                 for at, h in zip(places.tolist(), hashes.tolist(), strict=True):
-                    body = t[max(0, at - (LONG - ANCHOR)) : at + LONG]
+                    begin = max(0, at - (LONG - ANCHOR))
+                    body = t[begin : at + LONG]
                     key = xxhash.xxh3_64_intdigest(body, seed=h)
                     old = seen.get(key)
                     if old is None:
-                        seen[key] = [h, body, i, i]
+                        seen[key] = [h, body, i, i, at - begin]
                     elif i < old[2]:
                         old[2] = i
                     elif i > old[3]:
@@ -197,29 +199,41 @@ def _distinct(bits: bytes, most: int = 150_000):
 def _answers(batches):
     """Of contexts sorted by (anchor, key): the least document of each 50-byte string, for contexts where it matters.
 
-    A group of one context needs no index: its strings' least document is its own.  ``least`` has one number if it holds
-    for all strings, else one for each.
+    A context that shares no extended anchor with another of its group needs no index: its strings' least document is its
+    own.  ``least`` has one number if it holds for all strings, else one for each.
     """
-    group: list[list] = []  # [key, context, least, greatest] of the current anchor
-    block: list[list] = []
+    group: list[list] = []  # [key, context, anchor's place, least, greatest] of the current anchor
+    block: list[list] = []  # the same
     anchor, size, rows = None, 0, []
 
+    def sides(g) -> tuple[bytes, bytes]:
+        body, at = g[1], g[2]
+        before = body[at - SIDE : at + ANCHOR] if at >= SIDE else b""
+        after = body[at : at + ANCHOR + SIDE] if len(body) >= at + ANCHOR + SIDE else b""
+        return before, after
+
     def close():
         nonlocal size
-        if len(group) == 1:
-            key, body, least, greatest = group[0]
+        if len(group) > 1:
+            both = [sides(g) for g in group]
+            many = [Counter(x[k] for x in both if x[k]) for k in (0, 1)]
+            met = [g for g, (x, y) in zip(group, both, strict=True) if many[0][x] > 1 or many[1][y] > 1]
+            alone = [g for g, (x, y) in zip(group, both, strict=True) if many[0][x] <= 1 and many[1][y] <= 1]
+        else:
+            met, alone = [], group
+        for key, body, _, least, greatest in alone:
             if least < greatest and len(body) >= LONG:
                 rows.append((key, np.array([least], np.int64).tobytes()))
-        elif group and min(g[2] for g in group) < max(g[3] for g in group):
-            block.extend(group)
-            size += sum(len(g[1]) for g in group)
+        if met and min(g[3] for g in met) < max(g[4] for g in met):
+            block.extend(met)
+            size += sum(len(g[1]) for g in met)
         group.clear()
 
     def index():
         nonlocal size
-        found = RunLengthIndex([g[1] for g in block], np.array([g[2] for g in block], np.int64), LONG).stream()
+        found = RunLengthIndex([g[1] for g in block], np.array([g[3] for g in block], np.int64), LONG).stream()
         for g, least in zip(block, found, strict=True):
-            if len(least) and least.min() < g[3]:
+            if len(least) and least.min() < g[4]:
                 rows.append((g[0], least[:1].tobytes() if (least == least[0]).all() else least.tobytes()))
         block.clear()
         size = 0
@@ -230,7 +244,7 @@ def _answers(batches):
         return out
 
     for batch in batches:
-        for a, key, body, least, greatest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, key, body, at, least, greatest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if a != anchor:
                 close()
                 anchor = a
@@ -239,9 +253,9 @@ def _answers(batches):
                 if len(rows) >= 20_000:
                     yield give()
             if group and group[-1][0] == key:
-                group[-1][2], group[-1][3] = min(group[-1][2], least), max(group[-1][3], greatest)
+                group[-1][3], group[-1][4] = min(group[-1][3], least), max(group[-1][4], greatest)
             else:
-                group.append([key, body, least, greatest])
+                group.append([key, body, at, least, greatest])
     close()
     if block:
         index()
@@ -327,7 +341,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
     bits = shared_anchors(docs.select("text"))
     owners = common.owners_for(df.sparkSession)
-    contexts = docs.mapInArrow(_distinct(bits), "anchor long, key long, context binary, least long, greatest long")
+    contexts = docs.mapInArrow(_distinct(bits), "anchor long, key long, context binary, at int, least long, greatest long")
     answers = contexts.repartition(owners, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(_answers, "key long, least binary")
     common.release(df.sparkSession)  # the anchors' shuffle
     answers = common.written(answers, "repeated-strings")
