@@ -76,6 +76,28 @@ def publish(path: str, write) -> None:
             os.remove(attempt)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in slices of ``rows``, so that Python objects are made for few texts at a time; memory is given
+    back at the end, for workers live on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: a worker is reused by later tasks, whose JVM needs it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -152,7 +152,7 @@ def _profile(share: float, block_docs: int):
 
     def run(batches):
         held, docs, size = [], 0, 0
-        for batch in batches:
+        for batch in common.slices(batches):
             sets = shingle_sets(_texts(batch))
             yield out(batch.column(0), sets)
             held += sets
@@ -185,7 +185,7 @@ def _prefixes(common_hashes: bytes):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in common.slices(batches):
             sigs, keys, sizes = [], [], []
             for s in shingle_sets(_texts(batch)):
                 if not len(s):
@@ -332,7 +332,7 @@ def _sets_of(bits: bytes):
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
             ids = batch.column(0).fill_null(NONE).to_pylist()
             for i, s in zip(ids, shingle_sets(_texts(batch)), strict=True):
@@ -386,14 +386,14 @@ def _filter_bits(rows: DataFrame, bits: int = FILTER_BITS) -> bytes:
 
 def _refine(batches):
     """The pairs (a, b) that the fine counts cannot rule out."""
-    for batch in batches:
+    for batch in common.slices(batches):
         rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
         out = [(a, b) for a, b, n, m, x, y in rows if fine_bound(x, y) >= least_overlap(n, m)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in common.slices(batches):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out = []
         for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -34,7 +34,7 @@ CHUNK = 1 << 20  # bytes whose anchors are found at once
 SIDE = (LONG - ANCHOR) // 2  # one side of the anchor has so many bytes of the string or more
 MAP_BITS = 28  # the anchors' bit map has 2**28 bits for any input; more set bits only send more contexts
 RANGES = 64
-BLOCK = 1 << 20  # bytes of contexts in an index
+BLOCK = 1 << 19  # bytes of contexts in an index
 NONE = np.iinfo(np.int64).min
 
 _powers = Powers()
@@ -108,7 +108,7 @@ def _dealt(batches):
         parts = [(r, p.tobytes()) for r, p in enumerate(np.split(values, cut)) if len(p)]
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["range", "hashes"])
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for _, _, before, after in anchors(_texts(batch, 0)):
             held += [before[before > 0], after[after > 0]]
             size += 2 * len(before)
@@ -160,7 +160,7 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def _distinct(bits: bytes, most: int = 150_000):
+def _distinct(bits: bytes, most: int = 60_000):
     """(anchor, key, context, anchor's place in it, least and greatest document) of a partition's contexts, each once while
     they fit."""
     mask = np.frombuffer(bits, np.uint8)
@@ -174,7 +174,7 @@ def _distinct(bits: bytes, most: int = 150_000):
             seen.clear()
             return pa.RecordBatch.from_arrays([_signed([r[0] for r in rows]), _signed(keys), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["anchor", "key", "context", "at", "least", "greatest"])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             ids = batch.column(0).fill_null(NONE).to_pylist()
             texts = _texts(batch, 1)
             for i, t, (places, hashes) in zip(ids, texts, _contexts(texts, mask), strict=True):
@@ -243,7 +243,7 @@ def _answers(batches):
         rows.clear()
         return out
 
-    for batch in batches:
+    for batch in common.slices(batches, 10_000):
         for a, key, body, at, least, greatest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if a != anchor:
                 close()
@@ -267,7 +267,7 @@ def _occurrences(bits: bytes):
     mask = np.frombuffer(bits, np.uint8)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts, names = batch.column(0).fill_null(NONE).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist()
             keys, rows, docs, begins, sizes = [], [], [], [], []
             for i, t, name, (places, hashes) in zip(ids, texts, names, _contexts(texts, mask), strict=True):
@@ -315,7 +315,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _removed(batches):
-    for batch in batches:
+    for batch in common.slices(batches):
         rows = []
         for t, spans in zip(_texts(batch, 1), batch.column(2).to_pylist(), strict=True):
             runs = merged([(s["begin"], s["end"]) for s in spans or ()])
