@@ -272,6 +272,14 @@ def d23(spark, d):
     return rows.select("o_custkey", F.array_join("x", ",").alias("parts"))
 
 
+@query("d23_whole_dossier", "SELECT o_custkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
+def d23_whole(spark, d):
+    """Every part that a customer's lines refer to; ``d23_dossier_assembly`` has the large lines only."""
+    l = P._lines(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("p"))  # noqa: E741
+    rows = P._orders(spark, d).select("o_orderkey", "o_custkey").join(l, "o_orderkey").groupBy("o_custkey").agg(F.array_sort(F.collect_set("p")).alias("x"))
+    return rows.select("o_custkey", F.array_join("x", ",").alias("parts"))
+
+
 @query("d29_unknown_grid", "SELECT r_name, seg, 'unknown' AS status, 'no evidence' AS reason FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer)")
 def d29(spark, d):
     segments = P._customers(spark, d).select(F.col("c_mktsegment").alias("seg")).distinct()
