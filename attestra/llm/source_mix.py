@@ -3,10 +3,11 @@
 A source with target T and size S gives every document floor(T / S) certain copies.  What is left of the target is a
 sample without replacement: document i has an inclusion weight p_i, a uniform number u_i made from its id, and the rank
 u_i / (1 - u_i) / (p_i / (1 - p_i)), random odds over inclusion odds; documents are taken by ascending rank until the
-left-over words are reached, and one closing document whose size fits the rest best completes the sample.
+left-over words are reached, and the one of the source's other documents whose size fits the rest best closes the sample.
 
 No source is ever sorted as a whole: ranks fall into ``BUCKETS`` buckets of a source, the buckets' sums are added up,
-and only the documents of the bucket where the target falls are ordered among themselves.
+and only the documents of the bucket where the target falls are ordered among themselves.  The closing document is found
+from the least rank of each size of a source.
 """
 
 from __future__ import annotations
@@ -104,17 +105,27 @@ def _sampled(rows: DataFrame, names: list[str]) -> DataFrame:
     key = [F.col("rank"), F.col("size"), F.col(f"row.`{names[0]}`")]
     upto = Window.partitionBy("source").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.filter("state = 2").withColumn("upto", F.col("before") + F.sum("size").over(upto))
-    inside = inside.withColumn("in", F.col("upto") <= left)
-    reach = F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))).over(Window.partitionBy("source")), F.col("before"))
-    inside = inside.withColumn("gap", left - reach)
-    # the closing document: of the edge bucket's others the one whose size comes nearest to the gap, if that is nearer than none
-    miss = F.when(~F.col("in"), F.abs(F.col("size") - F.col("gap")))
-    first = F.row_number().over(Window.partitionBy("source").orderBy(miss.asc_nulls_last(), *key))
-    inside = inside.withColumn("close", ~F.col("in") & (first == 1) & (miss < F.col("gap")))
-    taken = lambda more: ((F.col("whole") + more) * F.col("size")).cast("long")
-    out = lambda part, more: part.select(F.col("row.*"), "size", "source_size", "target", taken(more).alias("taken"))
-    outside = rows.filter("state != 2")
-    return out(outside, F.col("state")).unionByName(out(inside, (F.col("in") | F.col("close")).cast("int")))
+    inside = inside.withColumn("more", (F.col("upto") <= left).cast("int"))
+    reach = F.coalesce(F.max(F.when(F.col("more") == 1, F.col("upto"))), F.max("before"))
+    gaps = inside.groupBy("source").agg((F.max(left) - reach).alias("gap"))
+    # the closing document: of the source's untaken ones that whose size comes nearest to the gap, if that is nearer than none
+    rows = rows.filter("state != 2").withColumn("more", F.col("state")).unionByName(inside.drop("upto"))
+    spare = live & (F.col("more") == 0)
+    sizes = rows.filter(spare).groupBy("source", "size").agg(F.min("rank").alias("rank"))
+    gaps = common.written(gaps.select(F.col("source").alias("_source"), "gap"), "mix-gaps")
+    few = gaps.limit(20_001).count() <= 20_000
+    sizes = sizes.join(F.broadcast(gaps) if few else gaps, F.col("source").eqNullSafe(F.col("_source")))
+    miss = F.abs(F.col("size") - F.col("gap"))
+    best = sizes.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "size")).alias("best"))
+    best = common.written(best.select(F.col("source").alias("_source"), F.col("best.rank").alias("_rank"), F.col("best.size").alias("_size")), "mix-closing")
+    rows = rows.join(F.broadcast(best) if few else best, F.col("source").eqNullSafe(F.col("_source")), "left")
+    tied = F.coalesce(spare & (F.col("rank") == F.col("_rank")) & (F.col("size") == F.col("_size")), F.lit(False))
+    # more than one row only where rows repeat an id
+    first = F.row_number().over(Window.partitionBy("source").orderBy(*key))
+    closing = rows.filter(tied).withColumn("more", (first == 1).cast("int"))
+    taken = ((F.col("whole") + F.col("more")) * F.col("size")).cast("long")
+    out = lambda part: part.select(F.col("row.*"), "size", "source_size", "target", taken.alias("taken"))
+    return out(rows.filter(~tied)).unionByName(out(closing))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
