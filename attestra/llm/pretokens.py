@@ -8,7 +8,6 @@ neighbouring characters only, so they are found by comparing shifted class array
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Callable, Sequence
 
@@ -23,12 +22,13 @@ def class_table(tokenizer_json: str) -> bytes:
     from tokenizers.pre_tokenizers import ByteLevel
 
     one = lambda text, split=ByteLevel(add_prefix_space=False).pre_tokenize_str: len(split(text)) == 1
+    kinds = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+    # surrogates, which no text has, stay OTHER; the library may know code points that this Python has not assigned yet
     table = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        x = chr(c)
-        if unicodedata.category(x) in ("Cn", "Co", "Cs"):
-            continue
-        table[c] = LETTER if one("a" + x) else NUMBER if one("1" + x) else OTHER if one("!" + x) else SPACE
+    for at in [*range(0, 0xD800, 256), *range(0xE000, 0x110000, 256)]:
+        block = [chr(c) for c in range(at, at + 256)]
+        same = next((k for k, x in kinds.items() if one(x + "".join(block))), None)
+        table[at : at + 256] = [next((k for k, y in kinds.items() if one(y + x)), SPACE) for x in block] if same is None else same
     return zlib.compress(table.tobytes(), 1)
 
 

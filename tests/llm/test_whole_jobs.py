@@ -5,7 +5,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from attestra.llm import source_mix
+from attestra.llm import bpe_automaton, source_mix
+from tokenizers import Tokenizer
 
 
 # ------------------------------------------------------------------ source mix
@@ -39,3 +40,14 @@ def test_mix_closes_with_any_document(spark):
         if min(spare)[0] < gap:
             want.add(min(spare)[2])
         assert {r.doc_id for r in rs if r.taken == (whole + 1) * r.size} == want
+
+
+# ------------------------------------------------------------------ tokens
+
+
+def test_letters_of_later_unicode_versions(spark):
+    path = bpe_automaton.tokenizer_path()
+    texts = [f"a{x}'s {x}'ll 1{x}2 !{x}" for x in "\u1c89\u1c8a\ua7cb\U00013460\ue000\U000e0fff"]
+    got = bpe_automaton.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    library = Tokenizer.from_file(path)
+    assert {r.doc_id: list(r.ids) for r in got} == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
