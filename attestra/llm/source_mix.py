@@ -60,7 +60,7 @@ def mix(
     Documents of a source get inclusion weights that rise with the logarithm of their size.
     """
     size = F.size(common.words_of(text_col)).cast("long") if size is None else size
-    names = [c for c in df.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    names = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), size.alias("size"), F.col(source_col).alias("source"))
     rows = rows.withColumn("u", uniform(F.col(f"row.`{id_col}`"), F.col("source"), seed=seed))
     rows = rows.withColumn("p", F.log(F.col("size") + 2.0))

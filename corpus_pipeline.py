@@ -14,6 +14,16 @@ from attestra.llm import bpe_automaton, common, exact_dedup, jaccard_join, quali
 ORACLE_SQL = None  # tokens are not expressible in SQL; the tests hold the rows against a brute-force version
 
 
+def _packed(docs: DataFrame, *own: str) -> DataFrame:
+    """``own`` columns, which a stage reads, and the others in a struct, where no name clashes with the stage's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own] or [F.lit(0).alias("_none")]
+    return docs.select(*own, F.struct(*rest).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    return rows.select(*[F.col(c) if c in own else F.col(f"_rest.`{c}`") for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_rules.quality_filter(docs)
@@ -21,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    return _unpacked(exact_dedup.exact_dedup(_packed(docs, "doc_id", "text")).filter("kept"), docs, "doc_id", "text")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +43,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = source_mix.mix(docs).filter("taken > 0")
+    own = ("doc_id", "text", "source")
+    taken = source_mix.mix(_packed(docs, *own)).filter("taken > 0")
     copies = F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))
-    return taken.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    return _unpacked(taken.withColumn("_copy", F.explode(copies)), docs, *own)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

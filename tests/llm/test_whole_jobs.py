@@ -3,6 +3,7 @@
 import math
 from collections import defaultdict
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from attestra.llm import bpe_automaton, source_mix
@@ -51,3 +52,17 @@ def test_letters_of_later_unicode_versions(spark):
     got = bpe_automaton.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
     library = Tokenizer.from_file(path)
     assert {r.doc_id: list(r.ids) for r in got} == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = "copies size source_size target taken keep_id group_size kept text_sha256 _rest _copy".split()
+    rows = [(i, f"words of text {i} " * 20, "s", *[f"{c}{i}" for c in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for stage in (corpus_pipeline.exact, corpus_pipeline.mixture):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = {tuple(r) for r in out.collect()}
+        assert got and got <= set(rows)
