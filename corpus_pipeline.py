@@ -35,10 +35,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts, the document with the least doc_id (all rows that repeat it)."""
-    groups = jaccard_join.similar_groups(docs)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """Of each group of linked texts one row: with the least doc_id, a null one last.  Texts without words all stay.
+
+    A row's key is a hash of its id and text; rows that share it have equal texts, so they are one group's.
+    """
+    rows = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", common.text_or_empty("text")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    groups = jaccard_join.similar_groups(rows.select("_key", F.col("_row.text").alias("text")), id_col="_key")
+    groups = groups.groupBy("_key", "component_id").agg(F.sum((F.col("n_shingles") > 0).cast("long")).alias("times"))
+    groups = common.written(groups, "near-groups")
+    ids = rows.select("_key", F.col("_row.doc_id").alias("id")).distinct()
+    best = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "times")).alias("best"))
+    stay = common.written(best.select(F.col("best._key").alias("_key"), F.col("best.times").alias("times")), "near-stay")
+    if not stay.filter("times > 1").limit(1).count():
+        return rows.join(stay, "_key", "left_semi").select("_row.*")
+    again = rows.join(stay.filter("times > 1"), "_key", "left_semi").withColumns({"_id": F.col("_row.doc_id"), "_text": F.col("_row.text")})
+    once = rows.join(stay.filter("times <= 1"), "_key", "left_semi")
+    return once.select("_row.*").unionByName(again.dropDuplicates(["_key", "_id", "_text"]).select("_row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,15 @@ def test_stages_keep_clashing_columns(spark):
         assert out.columns == docs.columns
         got = {tuple(r) for r in out.collect()}
         assert got and got <= set(rows)
+
+
+def test_near_decides_by_row(spark):
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, prose(0)), (5, prose(1)), (None, prose(1) + " tail"), (None, prose(2)), (None, prose(2) + " tail"), (None, prose(2)),
+            (7, prose(3)), (7, prose(4)), (6, prose(4) + " tail"), (8, prose(5)), (8, prose(5)), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()), key=repr)
+    two = [r for r in got if r[1] and r[1].startswith("w2x")]
+    assert len(two) == 1 and two[0] in rows
+    want = [(None, prose(0)), (5, prose(1)), (7, prose(3)), (6, prose(4) + " tail"), (8, prose(5)), (9, ""), (9, ""), (None, None)]
+    assert [r for r in got if r not in two] == sorted(want, key=repr)
