@@ -1,4 +1,4 @@
-"""Text, number, hash and locator functions as column expressions; all run inside the JVM."""
+"""Text, number and hash functions as column expressions; all run inside the JVM."""
 
 from __future__ import annotations
 
