@@ -1,14 +1,17 @@
 """Operators do the whole job on inputs that the given tables do not have."""
 
+import hashlib
 import math
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-
-from attestra.llm import bpe_automaton, source_mix
 from tokenizers import Tokenizer
 
+from attestra.llm import bpe_automaton, common, jaccard_join, source_mix, token_files
+
 
 # ------------------------------------------------------------------ source mix
 
@@ -78,3 +81,23 @@ def test_near_decides_by_row(spark):
     assert len(two) == 1 and two[0] in rows
     want = [(None, prose(0)), (5, prose(1)), (7, prose(3)), (6, prose(4) + " tail"), (8, prose(5)), (9, ""), (9, ""), (None, None)]
     assert [r for r in got if r not in two] == sorted(want, key=repr)
+
+
+def thue_morse(letters: int, one: str, two: str) -> str:
+    return "".join(one if bin(i).count("1") % 2 == 0 else two for i in range(letters))
+
+
+def test_words_that_meet_in_a_linear_hash(spark):
+    """Sums of powers modulo 2**64 take these two words for one; tokens and links must not."""
+    words = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    path = bpe_automaton.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    ids = [library.encode(w, add_special_tokens=False).ids for w in words]
+    got = bpe_automaton.digests(docs, path).orderBy("doc_id").collect()
+    assert [r.ids_sha256 for r in got] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+    assert [r.decoded_sha256 for r in got] == [hashlib.sha256(w.encode()).hexdigest() for w in words]
+    files = token_files.write_token_files(docs, path, common.new_folder(spark, "t"), parts=1)
+    crc = {r.doc_id: r.ids_crc32 for r in token_files.read_digests(files).collect()}
+    assert crc == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
+    assert [r.component_id for r in jaccard_join.similar_groups(docs).orderBy("doc_id").collect()] == [0, 1]
