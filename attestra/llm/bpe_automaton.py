@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .pretokens import BatchEncoder, Vocabulary, class_table
 
-TABLE_ROWS = 4_000_000  # transitions on file at most; the table starts anew beyond
+TABLE_ROWS = 1_000_000  # transitions on file at most, about 100 MB; the table starts anew beyond
 
 
 class Automaton:
@@ -102,36 +103,55 @@ class Automaton:
 _built: dict[str, tuple] = {}
 
 
+class Labels:
+    """Byte strings by id in one buffer; a run of ids is spelt with one gather."""
+
+    def __init__(self, labels: list[bytes]):
+        self.sizes = np.fromiter(map(len, labels), np.int64, len(labels))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.body = np.frombuffer(b"".join(labels), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        size = self.sizes[ids]
+        at = np.cumsum(size) - size
+        total = int(size.sum())
+        return self.body[np.repeat(self.starts[ids] - at, size) + np.arange(total)].tobytes()
+
+
 def _tools(path: str, classes: bytes):
-    """This worker's vocabulary and encoder; a worker keeps them, and its cache of words, for its next tasks."""
+    """This worker's encoder, arc labels and decimal numbers; a worker keeps them, and its cache of words, for its next
+    tasks."""
     if path not in _built:
         vocabulary = Vocabulary(path)
         machine = Automaton(vocabulary)
-        _built[path] = vocabulary, BatchEncoder(vocabulary, classes, lambda words: [machine.encode(w.encode()) for w in words])
+        encoder = BatchEncoder(vocabulary, classes, lambda words: [machine.encode(w.encode()) for w in words])
+        _built[path] = encoder, Labels(vocabulary.labels), Labels([b"%d," % i for i in range(vocabulary.size)])
     return _built[path]
 
 
-def decode(ids, labels: list[bytes]) -> str:
+def decode(ids, labels: Labels) -> str:
     """The arcs' labels one after another; bytes that are not UTF-8 become replacement characters."""
-    return b"".join([labels[i] for i in ids]).decode("utf-8", "replace")
+    return labels.spell(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
 def _encoded(path: str, classes: bytes, digests: bool):
+    """Rows for a few texts at a time: memory holds one part of a batch, as flat arrays."""
+
     def run(batches):
-        vocabulary, encoder = _tools(path, classes)
-        decimal = [str(i).encode() for i in range(vocabulary.size)]
-        for batch in batches:
-            every = encoder.encode(batch.column(1).to_pylist())
-            if not digests:
-                ids = pa.array([x.tolist() for x in every], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([decode(x.tolist(), vocabulary.labels) for x in every], pa.string())], names=["id", "ids", "decoded"])
-                continue
-            rows = []
-            for x in every:
-                ids = x.tolist()
-                of = hashlib.sha256(b",".join([decimal[i] for i in ids])).hexdigest()
-                rows.append((len(ids), of, hashlib.sha256(decode(ids, vocabulary.labels).encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder, labels, decimal = _tools(path, classes)
+        for batch in common.slices(batches):
+            done = 0
+            for part in encoder.parts(batch.column(1).to_pylist()):
+                names = batch.column(0).slice(done, len(part))
+                done += len(part)
+                texts = [decode(ids, labels) for ids in part]
+                if digests:
+                    columns = [pa.array([len(ids) for ids in part], pa.int64()), pa.array([hashlib.sha256(decimal.spell(ids)[:-1]).hexdigest() for ids in part]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
+                    yield pa.RecordBatch.from_arrays([names, *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    bounds = np.concatenate([[0], np.cumsum([len(ids) for ids in part])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(part).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([names, ids, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     return run
 
@@ -144,7 +164,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """(id, ids, decoded) of every row.
 
     A null or empty text has no ids and decodes to the empty text.  An added token spelt in a text becomes its id.  Rows
-    that repeat are encoded alike; an empty table gives an empty result.
+    that repeat are encoded alike; an empty table gives an empty result.  Other columns are not read.  A text is encoded
+    as a whole, however long, in some 60 bytes of memory a character.
     """
     return _rows(df, id_col, text_col).mapInArrow(_encoded(path, class_table(path), False), "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 

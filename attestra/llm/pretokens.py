@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
-CHUNK = 1 << 21  # characters handled at once; a longer document is a chunk of its own
+CHUNK = 1 << 19  # characters handled at once; a longer document is a chunk of its own
 
 
 def class_table(tokenizer_json: str) -> bytes:
@@ -128,39 +128,75 @@ def token_starts(cp: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.nda
 
 
 class WordCache:
-    """Ids of words by 64-bit hash: sorted arrays, emptied when they hold ``most`` words."""
+    """Ids of words: found by 64-bit hash in sorted arrays, then compared with the words themselves.
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 2_000_000):
+    Code points of the words on file lie in one buffer.  A word that meets another one's hash is encoded by itself, so
+    results never rest on a hash.  The buffers hold ``most`` code points and as many ids; then the cache starts anew.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 4_000_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint32), 0
 
-    def places(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
-        """(offset in ``flat``, number of ids) of each hash; ``word(i)`` is the i-th word's text."""
+    def places(self, hashes: np.ndarray, cp: np.ndarray, start: np.ndarray, stop: np.ndarray, whole: str) -> tuple[np.ndarray, np.ndarray]:
+        """(offset in ``flat``, number of ids) of the words cp[start:stop], which follow one another."""
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > max(self.most, len(unique)):
+        if self.text_used > self.most or self.used > self.most:
             self._clear()
         slot = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         new = self.keys[slot] != unique if len(self.keys) else np.ones(len(unique), bool)
         if new.any():
-            self._add(unique[new], [word(i) for i in where[new]])
+            self._add(unique[new], cp, start[where[new]], stop[where[new]], whole)
             slot = np.searchsorted(self.keys, unique)
-        return self.at[slot][inverse], self.n[slot][inverse]
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = self.encode_words(words)
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        slot = slot[inverse]
+        at, n = self.at[slot], self.n[slot]
+        size = stop - start
+        other = self.text_n[slot] != size
+        # every code point against the one on file; words of another length are compared as far as they fit the buffer
+        from_ = np.repeat(self.text_at[slot] - start, size) + np.arange(start[0], stop[-1])
+        differs = self.text[np.minimum(from_, len(self.text) - 1)] != cp[start[0] : stop[-1]]
+        other |= np.logical_or.reduceat(differs, start - start[0])
+        met = np.flatnonzero(other)
+        if len(met):
+            words = [whole[a:b] for a, b in zip(start[met].tolist(), stop[met].tolist(), strict=True)]
+            distinct = list(dict.fromkeys(words))
+            place = dict(zip(distinct, zip(*self._file(self.encode_words(distinct)), strict=True), strict=True))
+            at[met], n[met] = [place[w][0] for w in words], [place[w][1] for w in words]
+        return at, n
+
+    def _file(self, ids: Sequence[Sequence[int]]) -> tuple[list[int], list[int]]:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat = _room(self.flat, self.used + total)
         self.flat[self.used : self.used + total] = np.fromiter((x for w in ids for x in w), np.uint32, total)
         at = self.used + np.cumsum(n) - n
         self.used += total
+        return at.tolist(), n.tolist()
+
+    def _add(self, keys: np.ndarray, cp: np.ndarray, start: np.ndarray, stop: np.ndarray, whole: str) -> None:
+        at, n = self._file(self.encode_words([whole[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]))
+        size = stop - start
+        total = int(size.sum())
+        text_at = np.cumsum(size) - size
+        self.text = _room(self.text, self.text_used + total)
+        self.text[self.text_used : self.text_used + total] = cp[np.repeat(start - text_at, size) + np.arange(total)]
+        text_at += self.text_used
+        self.text_used += total
         spot = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, spot, keys), np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+        self.keys = np.insert(self.keys, spot, keys)
+        self.at, self.n = np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+        self.text_at, self.text_n = np.insert(self.text_at, spot, text_at), np.insert(self.text_n, spot, size)
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, longer if it has fewer than ``n`` places."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
 
 
 class BatchEncoder:
@@ -173,16 +209,18 @@ class BatchEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned 32-bit integers."""
-        out: list[np.ndarray] = []
+        return [ids for part in self.parts(texts) for ids in part]
+
+    def parts(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
+        """The same, for as many texts at once as CHUNK characters hold."""
         i = 0
         while i < len(texts):
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= CHUNK):
                 size += len(texts[j])
                 j += 1
-            out += self._chunk(texts[i:j])
+            yield self._chunk(texts[i:j])
             i = j
-        return out
 
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         if not any(special in t for special in self.added for t in texts):
@@ -210,7 +248,7 @@ class BatchEncoder:
         np.cumsum(_mixed(cp) * up[: len(cp)], out=sums[1:])
         stop = np.append(start[1:], len(cp))
         hashes = (sums[stop] - sums[start]) * down[start]
-        at, n = self.cache.places(hashes, lambda i: whole[start[i] : stop[i]])
+        at, n = self.cache.places(hashes, cp, start, stop, whole)
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])
         total = int(before[-1])
         ids = self.cache.flat[np.repeat(at - before[:-1], n) + np.arange(total)]

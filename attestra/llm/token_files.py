@@ -120,10 +120,12 @@ def _write(folder: str, path: str, classes: bytes, end_id: int):
         def body(out):
             nonlocal docs, tokens
             writer = TokenFileWriter(out)
-            for batch in batches:
-                for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    writer.add(i, np.append(ids, end))
-                    docs, tokens = docs + 1, tokens + len(ids) + 1
+            for batch in common.slices(batches):
+                names = iter(batch.column(0).to_pylist())
+                for part in encoder.parts(batch.column(1).to_pylist()):
+                    for ids in part:
+                        writer.add(next(names), np.append(ids, end))
+                        docs, tokens = docs + 1, tokens + len(ids) + 1
             writer.finish()
 
         common.publish(name, body)
