@@ -103,6 +103,11 @@ class RunLengthIndex:
 
     def stream(self) -> list[np.ndarray]:
         """For each text and each position with ``depth`` bytes from it on: the least owner of these bytes."""
+        out, _, windows = self.flat_stream()
+        return np.split(out, np.cumsum(windows)[:-1]) if self.count else []
+
+    def flat_stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same in one array, with each text's first place in it and number of positions."""
         windows = np.maximum(self.sizes - self.depth + 1, 0)
         base = np.cumsum(windows) - windows
         out = np.full(int(windows.sum()), NOBODY)
@@ -119,4 +124,4 @@ class RunLengthIndex:
             left = left - 1
             whole = left < windows[text]
             out[base[text[whole]] + left[whole]] = self.least[run[whole]]
-        return np.split(out, np.cumsum(windows)[:-1]) if self.count else []
+        return out, base, windows

@@ -14,31 +14,30 @@ is one row a partition; occurrences and answers meet in a join that the adaptive
 
 from __future__ import annotations
 
-from collections import Counter
+import os
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .pretokens import Powers, _mixed
-from .run_length_index import NOBODY, RunLengthIndex
+from .run_length_index import RunLengthIndex
 from .shingles import finish
 
 LONG = 50  # bytes of a repeated string
 ANCHOR = 20
 SPAN = LONG - ANCHOR + 1  # anchors in such a string
 CHUNK = 1 << 20  # bytes whose anchors are found at once
+CACHED = 1 << 15  # of them, in arrays that a processor's cache holds
 SIDE = (LONG - ANCHOR) // 2  # one side of the anchor has so many bytes of the string or more
-MAP_BITS = 28  # the anchors' bit map has 2**28 bits for any input; more set bits only send more contexts
-RANGES = 64
-BLOCK = 1 << 19  # bytes of contexts in an index
+MAP_BITS = 28  # the anchors' bit map has 2**28 bits, 32 MB, for any input; more set bits only send more contexts
+BLOCK = 1 << 17  # bytes of contexts in an index
 NONE = np.iinfo(np.int64).min
 
 _powers = Powers()
-_values = _mixed(np.arange(256))
+_values, _others = _mixed(np.arange(256)), _mixed(np.arange(256, 512))
 
 
 def _sliding(x: np.ndarray, f) -> np.ndarray:
@@ -49,237 +48,308 @@ def _sliding(x: np.ndarray, f) -> np.ndarray:
     return f(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """(places, 64-bit hashes, hashes with the bytes before, with those after) of each text's anchors.
+class Anchors:
+    """The anchors of a few texts laid end to end, as flat arrays.
 
-    An extension that the text is too short for has hash 0.  Texts of fewer than LONG bytes have no anchors.
+    ``text``: which text; ``at``: place in ``raw``; ``begin`` and ``end``: the text's bounds there; ``hash``, and the hashes
+    with the bytes before and with those after, 0 where the text is too short.  Texts of fewer than LONG bytes have none.
     """
-    out: list = []
-    held: list[bytes] = []
-    size = 0
-    for t in texts:
-        held.append(t)
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = raw = np.frombuffer(b"".join(texts), np.uint8)
+        n = len(raw)
+        if n < LONG:
+            self.text = self.at = self.begin = self.end = np.zeros(0, np.int64)
+            self.hash = self.before = self.after = np.zeros(0, np.uint64)
+            return
+        self.up, self.down = _powers.get(n + 1)
+        self.sums = _sums(raw, self.up, _values)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        crossing = (ends[:-1, None] - np.arange(LONG - 1, 0, -1)).ravel()  # windows that run into the next text
+        crossing = np.sort(crossing[crossing >= 0])
+        found = [self._in_block(a, min(a + CACHED, n - ANCHOR + 1), n, crossing) for a in range(0, n - ANCHOR + 1, CACHED)]
+        self.at, self.hash = (np.concatenate([f[k] for f in found]) for k in range(2))
+        at = self.at
+        self.text = np.searchsorted(ends, at, "right")
+        self.end = ends[self.text]
+        self.begin = self.end - sizes[self.text]
+        self.before, self.after = _sides(self.sums, self.down, at, self.begin, self.end)
+
+    def _in_block(self, a: int, b: int, n: int, crossing: np.ndarray):
+        """(places, hashes) of the anchors from a to b; a window's least hash is its anchor."""
+        lo, hi = max(0, a - SPAN + 1), min(n - ANCHOR + 1, b + SPAN - 1)
+        h = finish((self.sums[lo + ANCHOR : hi + ANCHOR] - self.sums[lo:hi]) * self.down[lo:hi]) | np.uint64(1)
+        low = np.zeros(b - a + SPAN - 1, np.uint64)  # of the windows that hold places from a to b, none at the ends
+        skip, starts = SPAN - 1 - (a - lo), hi - lo - SPAN + 1
+        if starts > 0:
+            low[skip : skip + starts] = _sliding(h, np.minimum)
+            cross = crossing[np.searchsorted(crossing, lo) : np.searchsorted(crossing, lo + starts)]
+            low[skip + cross - lo] = 0
+        at = np.flatnonzero(_sliding(low, np.maximum) == h[a - lo : b - lo])
+        return at + a, h[at + (a - lo)]
+
+    def keep(self, on: np.ndarray) -> None:
+        for name in ("text", "at", "begin", "end", "hash", "before", "after"):
+            setattr(self, name, getattr(self, name)[on])
+
+    def contexts(self):
+        """(first places, sizes, 64-bit keys, other 32-bit hashes) of the bytes around each anchor."""
+        if not len(self.at):
+            return self.at, self.at, self.hash, np.zeros(0, np.int32)
+        first = np.maximum(self.begin, self.at - (LONG - ANCHOR))
+        last = np.minimum(self.end, self.at + LONG)
+        key = finish((self.sums[last] - self.sums[first]) * self.down[first] + self.hash)
+        other = _sums(self.raw, self.up, _others)
+        check = finish((other[last] - other[first]) * self.down[first] + (last - first).astype(np.uint64))
+        return first, last - first, key, (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _sums(raw: np.ndarray, up: np.ndarray, values: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    for a in range(0, len(raw), CACHED):
+        part = values[raw[a : a + CACHED]]
+        part *= up[a : a + len(part)]
+        np.cumsum(part, out=part)
+        np.add(part, sums[a], out=sums[a + 1 : a + 1 + len(part)])
+    return sums
+
+
+def _sides(sums, down, at, begin, end) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of anchors with the SIDE bytes before them, and with those after; 0 where there are not so many."""
+    a, b = np.maximum(at - SIDE, 0), np.minimum(at + ANCHOR + SIDE, len(sums) - 1)
+    before = np.where(at - SIDE >= begin, finish((sums[at + ANCHOR] - sums[a]) * down[a]), 0)
+    after = np.where(at + ANCHOR + SIDE <= end, finish((sums[b] - sums[at]) * down[at] + np.uint64(1)), 0)
+    return before, after
+
+
+def _chunks(texts: list[bytes]):
+    """(number of texts before, Anchors) for as many texts at once as CHUNK bytes hold."""
+    first = size = 0
+    for i, t in enumerate(texts):
         size += len(t)
         if size >= CHUNK:
-            out += _anchors(held)
-            held, size = [], 0
-    return out + (_anchors(held) if held else [])
-
-
-def _anchors(texts: list[bytes]):
-    none = (np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3)))
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(raw)
-    if n < LONG:
-        return [none for _ in texts]
-    up, down = _powers.get(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_values[raw] * up[:n], out=sums[1:])
-    h = finish((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1]) | np.uint64(1)
-    low = _sliding(h, np.minimum)  # of the LONG bytes from each place on
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    crossing = (ends[:-1, None] - np.arange(1, LONG)).ravel()  # windows that run into the next text
-    crossing = crossing[(crossing >= 0) & (crossing < len(low))]
-    low[crossing] = 0
-    padded = np.concatenate([np.zeros(SPAN - 1, np.uint64), low, np.zeros(SPAN - 1, np.uint64)])
-    at = np.flatnonzero(_sliding(padded, np.maximum) == h)
-    cut = np.searchsorted(at, ends)
-    first = np.r_[0, cut[:-1]]
-    begin, end = np.repeat(ends - sizes, cut - first), np.repeat(ends, cut - first)
-    before = np.where(at - SIDE >= begin, finish((sums[at + ANCHOR] - sums[np.maximum(at - SIDE, 0)]) * down[np.maximum(at - SIDE, 0)]), 0)
-    after = np.where(at + ANCHOR + SIDE <= end, finish((sums[np.minimum(at + ANCHOR + SIDE, n)] - sums[at]) * down[at] + np.uint64(1)), 0)
-    parts = (at - begin, h[at], before, after)
-    return [tuple(x[a:b] for x in parts) for a, b in zip(first, cut, strict=True)]
+            yield first, Anchors(texts[first : i + 1])
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, Anchors(texts[first:])
 
 
 def _texts(batch, column: int) -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def _dealt(batches):
+def _dealt(ranges: int):
     """Extended anchors' hashes (at most twice each) of a block of texts, sorted, cut into ranges: (range, hashes)."""
-    held, size = [], 0
 
-    def give():
+    def give(held):
         values, times = np.unique(np.concatenate(held), return_counts=True)
         values = np.repeat(values, np.minimum(times, 2))
-        cut = np.searchsorted(values, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
+        cut = np.searchsorted(values, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1))
         parts = [(r, p.tobytes()) for r, p in enumerate(np.split(values, cut)) if len(p)]
         return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["range", "hashes"])
 
-    for batch in common.slices(batches):
-        for _, _, before, after in anchors(_texts(batch, 0)):
-            held += [before[before > 0], after[after > 0]]
-            size += 2 * len(before)
-            if size > 2_000_000:
-                yield give()
-                held, size = [], 0
-    if held:
-        yield give()
+    def run(batches):
+        held, size = [], 0
+        for batch in common.slices(batches):
+            for _, found in _chunks(_texts(batch, 0)):
+                held += [found.before[found.before > 0], found.after[found.after > 0]]
+                size += 2 * len(found.at)
+                if size > 2_000_000:
+                    yield give(held)
+                    held, size = [], 0
+        if held:
+            yield give(held)
+
+    return run
 
 
-def _marked(batches):
-    """The slice of the bit map of each range: anchors that occur twice or more."""
-    parts: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parts.setdefault(r, []).append(raw)
-    width = (1 << MAP_BITS) // RANGES
-    for r, raws in parts.items():
-        values = np.sort(np.frombuffer(b"".join(raws), np.uint64))
-        twice = values[1:][values[1:] == values[:-1]]
-        mask = np.zeros(width, bool)
-        mask[(twice >> np.uint64(64 - MAP_BITS)).astype(np.int64) - r * width] = True
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(mask, bitorder="little").tobytes()])], names=["range", "mask"])
-
-
-def shared_anchors(texts: DataFrame) -> bytes:
-    """The bit map; the driver puts its slices together, 2**MAP_BITS / 8 bytes in all."""
-    dealt = texts.mapInArrow(_dealt, "range int, hashes binary")
-    whole = bytearray((1 << MAP_BITS) // 8)
-    width = len(whole) // RANGES
-    for row in dealt.repartitionById(RANGES, F.col("range")).mapInArrow(_marked, "range int, mask binary").collect():
-        whole[row.range * width : (row.range + 1) * width] = row.mask
-    return bytes(whole)
-
-
-def _contexts(texts: list[bytes], mask: np.ndarray):
-    """For each text: (places, hashes) of its marked anchors."""
+def _marked(folder: str, ranges: int):
+    """Writes the slice of the bit map of each range: extended anchors that occur twice or more."""
+    width = (1 << MAP_BITS) // ranges
+
+    def run(batches):
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for r, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts.setdefault(r, []).append(raw)
+        for r, raws in parts.items():
+            values = np.sort(np.frombuffer(b"".join(raws), np.uint64))
+            twice = values[1:][values[1:] == values[:-1]]
+            mask = np.zeros(width, bool)
+            mask[(twice >> np.uint64(64 - MAP_BITS)).astype(np.int64) - r * width] = True
+            common.publish(f"{folder}/{r}", lambda out, mask=mask: out.write(np.packbits(mask, bitorder="little").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())], names=["range"])
+
+    return run
+
+
+def shared_anchors(texts: DataFrame) -> tuple[str, int]:
+    """(folder, ranges) of the bit map: a file for each range, in the shared folder; 2**MAP_BITS / 8 bytes in all."""
+    spark = texts.sparkSession
+    ranges = 1 << max(6, (common.owners_for(spark) - 1).bit_length())
+    folder = common.local_path(common.new_folder(spark, "anchors"))
+    dealt = texts.mapInArrow(_dealt(ranges), "range int, hashes binary")
+    dealt.repartitionById(ranges, F.col("range")).mapInArrow(_marked(folder, ranges), "range int").count()
+    return folder, ranges
+
+
+_maps: dict[str, np.ndarray] = {}
+
+
+def _map(folder: str, ranges: int) -> np.ndarray:
+    """The bit map; a worker keeps the last one."""
+    if folder not in _maps:
+        _maps.clear()
+        width = (1 << MAP_BITS) // ranges // 8
+        mask = np.zeros(ranges * width, np.uint8)
+        for r in range(ranges):
+            if os.path.exists(f"{folder}/{r}"):
+                mask[r * width : (r + 1) * width] = np.fromfile(f"{folder}/{r}", np.uint8)
+        _maps[folder] = mask
+    return _maps[folder]
+
+
+def _shared(texts: list[bytes], mask: np.ndarray):
+    """``_chunks`` with the marked anchors alone."""
 
     def marked(h: np.ndarray) -> np.ndarray:
         bit = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
         return ((mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) & (h > 0)
 
-    for at, h, before, after in anchors(texts):
-        on = marked(before) | marked(after)
-        yield at[on], h[on]
+    for first, found in _chunks(texts):
+        found.keep(marked(found.before) | marked(found.after))
+        yield first, found
 
 
-def _signed(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
-def _distinct(bits: bytes, most: int = 60_000):
-    """(anchor, key, context, anchor's place in it, least and greatest document) of a partition's contexts, each once while
-    they fit."""
-    mask = np.frombuffer(bits, np.uint8)
+def _binary(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """body[first : first + size] of each pair as an Arrow array, by one gather."""
+    ends = np.cumsum(size)
+    data = body[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
-    def run(batches):
-        seen: dict[int, list] = {}
 
-        def give():
-            rows = list(seen.values())
-            keys = list(seen)
-            seen.clear()
-            return pa.RecordBatch.from_arrays([_signed([r[0] for r in rows]), _signed(keys), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["anchor", "key", "context", "at", "least", "greatest"])
+CONTEXT = "anchor long, key long, check int, context binary, at int, least long, greatest long"
+CONTEXT_NAMES = ["anchor", "key", "check", "context", "at", "least", "greatest"]
+
 
+def _distinct(place: tuple[str, int]):
+    """The contexts of a partition, each once a chunk: anchor, key, check, bytes, the anchor's place, least and greatest
+    document."""
+
+    def run(batches):
+        mask = _map(*place)
         for batch in common.slices(batches):
-            ids = batch.column(0).fill_null(NONE).to_pylist()
-            texts = _texts(batch, 1)
-            for i, t, (places, hashes) in zip(ids, texts, _contexts(texts, mask), strict=True):
-                for at, h in zip(places.tolist(), hashes.tolist(), strict=True):
-                    begin = max(0, at - (LONG - ANCHOR))
-                    body = t[begin : at + LONG]
-                    key = xxhash.xxh3_64_intdigest(body, seed=h)
-                    old = seen.get(key)
-                    if old is None:
-                        seen[key] = [h, body, i, i, at - begin]
-                    elif i < old[2]:
-                        old[2] = i
-                    elif i > old[3]:
-                        old[3] = i
-                if len(seen) >= most:
-                    yield give()
-        yield give()
+            ids = batch.column(0).fill_null(NONE).to_numpy()
+            for start, found in _shared(_texts(batch, 1), mask):
+                first, size, key, check = found.contexts()
+                order = np.lexsort((check, key))
+                k, c = key[order], check[order]
+                cut = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])][: len(k)])
+                if not len(cut):
+                    continue
+                doc = ids[start + found.text[order]]
+                one = order[cut]
+                columns = [_signed(found.hash[one]), _signed(key[one]), pa.array(check[one]), _binary(found.raw, first[one], size[one]), pa.array((found.at - first)[one].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum.reduceat(doc, cut)), pa.array(np.maximum.reduceat(doc, cut))], names=CONTEXT_NAMES)
 
     return run
 
 
 def _answers(batches):
-    """Of contexts sorted by (anchor, key): the least document of each 50-byte string, for contexts where it matters.
+    """Of contexts sorted by (anchor, key, check): the least document of each 50-byte string, where it matters.
 
-    A context that shares no extended anchor with another of its group needs no index: its strings' least document is its
-    own.  ``least`` has one number if it holds for all strings, else one for each.
+    A context that shares no extended anchor with another of its anchor shares no string with it either: its strings'
+    least document is its own.  The others go through indexes.  ``least`` has one number if it holds for all strings,
+    else one for each.
     """
-    group: list[list] = []  # [key, context, anchor's place, least, greatest] of the current anchor
-    block: list[list] = []  # the same
-    anchor, size, rows = None, 0, []
-
-    def sides(g) -> tuple[bytes, bytes]:
-        body, at = g[1], g[2]
-        before = body[at - SIDE : at + ANCHOR] if at >= SIDE else b""
-        after = body[at : at + ANCHOR + SIDE] if len(body) >= at + ANCHOR + SIDE else b""
-        return before, after
-
-    def close():
-        nonlocal size
-        if len(group) > 1:
-            both = [sides(g) for g in group]
-            many = [Counter(x[k] for x in both if x[k]) for k in (0, 1)]
-            met = [g for g, (x, y) in zip(group, both, strict=True) if many[0][x] > 1 or many[1][y] > 1]
-            alone = [g for g, (x, y) in zip(group, both, strict=True) if many[0][x] <= 1 and many[1][y] <= 1]
-        else:
-            met, alone = [], group
-        for key, body, _, least, greatest in alone:
-            if least < greatest and len(body) >= LONG:
-                rows.append((key, np.array([least], np.int64).tobytes()))
-        if met and min(g[3] for g in met) < max(g[4] for g in met):
-            block.extend(met)
-            size += sum(len(g[1]) for g in met)
-        group.clear()
-
-    def index():
-        nonlocal size
-        found = RunLengthIndex([g[1] for g in block], np.array([g[3] for g in block], np.int64), LONG).stream()
-        for g, least in zip(block, found, strict=True):
-            if len(least) and least.min() < g[4]:
-                rows.append((g[0], least[:1].tobytes() if (least == least[0]).all() else least.tobytes()))
-        block.clear()
-        size = 0
-
-    def give():
-        out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "least"])
-        rows.clear()
-        return out
-
-    for batch in common.slices(batches, 10_000):
-        for a, key, body, at, least, greatest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if a != anchor:
-                close()
-                anchor = a
-                if size >= BLOCK:
-                    index()
-                if len(rows) >= 20_000:
-                    yield give()
-            if group and group[-1][0] == key:
-                group[-1][3], group[-1][4] = min(group[-1][3], least), max(group[-1][4], greatest)
-            else:
-                group.append([key, body, at, least, greatest])
-    close()
-    if block:
-        index()
-    yield give()
-
-
-def _occurrences(bits: bytes):
-    """(key, row, document, place, size) of every marked context."""
-    mask = np.frombuffer(bits, np.uint8)
+
+    def rows(key, check, least: pa.Array):
+        return pa.RecordBatch.from_arrays([_signed(key), pa.array(check), least], names=["key", "check", "least"])
+
+    def answered(table):
+        anchor, key, check = (table.column(i).to_numpy() for i in range(3))
+        same = (anchor[1:] == anchor[:-1]) & (key[1:] == key[:-1]) & (check[1:] == check[:-1])
+        cut = np.flatnonzero(np.r_[True, ~same])
+        least = np.minimum.reduceat(table.column(5).to_numpy(), cut)
+        greatest = np.maximum.reduceat(table.column(6).to_numpy(), cut)
+        anchor, key, check = anchor[cut], key[cut].view(np.uint64), check[cut]
+        bodies = table.column(3).combine_chunks().take(pa.array(cut))
+        bodies = bodies.combine_chunks() if isinstance(bodies, pa.ChunkedArray) else bodies
+        texts = bodies.to_pylist()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(sizes)
+        up, down = _powers.get(len(raw) + 1)
+        at = ends - sizes + table.column(4).to_numpy()[cut]
+        met = np.zeros(len(cut), bool)
+        for side in _sides(_sums(raw, up, _values), down, at, ends - sizes, ends):
+            _, where, times = np.unique(side, return_inverse=True, return_counts=True)
+            met |= (times[where] > 1) & (side > 0)
+        one = np.flatnonzero(~met & (least < greatest) & (sizes >= LONG))
+        if len(one):
+            yield rows(key[one], check[one], _binary(least.view(np.uint8), one * 8, np.full(len(one), 8)))
+        # of the others, groups by anchor in which documents differ, in blocks of whole groups
+        met = np.flatnonzero(met)
+        if not len(met):
+            return
+        group = np.cumsum(np.r_[0, anchor[met][1:] != anchor[met][:-1]])
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        differ = np.minimum.reduceat(least[met], start) < np.maximum.reduceat(greatest[met], start)
+        met, group = met[differ[group]], group[differ[group]]
+        if not len(met):
+            return
+        total = np.cumsum(sizes[met])
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        block = (np.r_[0, total[start[1:] - 1]] // BLOCK)[np.cumsum(np.r_[0, group[1:] != group[:-1]])]
+        for part in np.split(met, np.flatnonzero(block[1:] != block[:-1]) + 1):
+            index = RunLengthIndex([texts[i] for i in part.tolist()], least[part], LONG)
+            found, base, windows = index.flat_stream()
+            full = np.flatnonzero(windows > 0)
+            if not len(full):
+                continue
+            low, high = np.minimum.reduceat(found, base[full]), np.maximum.reduceat(found, base[full])
+            told = low < greatest[part[full]]
+            width = np.where(low == high, 1, windows[full])[told]
+            who = part[full[told]]
+            if len(who):
+                yield rows(key[who], check[who], _binary(found.view(np.uint8), base[full[told]] * 8, width * 8))
+
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        count += batch.num_rows
+        if count < 40_000 or batch.column(0)[0] == batch.column(0)[-1]:
+            continue
+        whole = pa.concat_tables(held).combine_chunks()
+        anchor = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if cut:
+            yield from answered(whole.slice(0, cut).combine_chunks())
+        held, count = [whole.slice(cut)], len(anchor) - cut
+    if held:
+        yield from answered(pa.concat_tables(held).combine_chunks())
+    common.trim()
+
+
+def _occurrences(place: tuple[str, int]):
+    """(key, check, row, document, place, size) of every marked context."""
 
     def run(batches):
+        mask = _map(*place)
         for batch in common.slices(batches):
-            ids, texts, names = batch.column(0).fill_null(NONE).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist()
-            keys, rows, docs, begins, sizes = [], [], [], [], []
-            for i, t, name, (places, hashes) in zip(ids, texts, names, _contexts(texts, mask), strict=True):
-                for at, h in zip(places.tolist(), hashes.tolist(), strict=True):
-                    begin = max(0, at - (LONG - ANCHOR))
-                    body = t[begin : at + LONG]
-                    keys.append(xxhash.xxh3_64_intdigest(body, seed=h))
-                    begins.append(begin)
-                    sizes.append(len(body))
-                rows += [name] * len(places)
-                docs += [i] * len(places)
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(begins, pa.int32()), pa.array(sizes, pa.int32())], names=["key", "row", "doc", "begin", "size"])
+            ids, names = batch.column(0).fill_null(NONE).to_numpy(), batch.column(2).to_numpy()
+            for start, found in _shared(_texts(batch, 1), mask):
+                first, size, key, check = found.contexts()
+                text = start + found.text
+                columns = [_signed(key), pa.array(check), pa.array(names[text]), pa.array(ids[text]), pa.array((first - found.begin).astype(np.int32)), pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "row", "doc", "begin", "size"])
 
     return run
 
@@ -287,20 +357,29 @@ def _occurrences(bits: bytes):
 def _spans(batches):
     """(row, begin, end) of the bytes covered by strings that start in a smaller document."""
     for batch in batches:
-        rows, docs, begins, sizes = (batch.column(i).to_pylist() for i in range(4))
-        least = batch.column(4).to_pylist()
-        out = []
-        for row, doc, begin, size, raw in zip(rows, docs, begins, sizes, least, strict=True):
-            if len(raw) == 8:
-                if int.from_bytes(raw, "little", signed=True) < doc:
-                    out.append((row, begin, begin + size))
-                continue
-            at = np.flatnonzero(np.frombuffer(raw, np.int64) < doc)
+        row, doc, begin, size = (batch.column(i).to_numpy() for i in range(4))
+        if not len(row):
+            continue
+        least = batch.column(4)
+        offsets = np.frombuffer(least.buffers()[1], np.int32)[least.offset : least.offset + len(least) + 1].astype(np.int64)
+        value = np.frombuffer(least.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.int64)
+        first, width = (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+        one = (width == 1) & (value[first] < doc)
+        rows, begins, ends = [row[one]], [begin[one]], [begin[one] + size[one]]
+        # strings of the others, all together: runs of strings that start in a smaller document, no further apart than LONG
+        many = np.flatnonzero(width > 1)
+        if len(many):
+            w = width[many]
+            owner, at = np.repeat(many, w), np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            on = value[np.repeat(first[many], w) + at] < doc[owner]
+            owner, at = owner[on], at[on]
             if len(at):
-                cut = np.flatnonzero(np.diff(at) > LONG)
-                for a, b in zip(at[np.r_[0, cut + 1]].tolist(), at[np.r_[cut, len(at) - 1]].tolist(), strict=True):
-                    out.append((row, begin + a, begin + b + LONG))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[k] for r in out], pa.int32()) for k in (1, 2))], names=["row", "begin", "end"])
+                new = np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > LONG)]
+                a, b = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]
+                rows.append(row[owner[a]])
+                begins.append(begin[owner[a]] + at[a])
+                ends.append(begin[owner[a]] + at[b] + LONG)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32))], names=["row", "begin", "end"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -336,19 +415,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remaining bytes (or, with ``digest``, kept_sha256 in its place; then texts without repeats are never shuffled).
 
     Null texts count as empty; texts of fewer than 50 bytes lose nothing.  Rows that repeat an id never match each other,
-    for neither id is smaller; a null id is smaller than any other.  An empty table gives an empty result.
+    for neither id is smaller; a null id is smaller than any other.  An empty table gives an empty result.  Other columns
+    are not read.  A text is handled as a whole, however long, in some 100 bytes of memory a byte.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
-    bits = shared_anchors(docs.select("text"))
+    place = shared_anchors(docs.select("text"))
     owners = common.owners_for(df.sparkSession)
-    contexts = docs.mapInArrow(_distinct(bits), "anchor long, key long, context binary, at int, least long, greatest long")
-    answers = contexts.repartition(owners, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(_answers, "key long, least binary")
+    contexts = docs.mapInArrow(_distinct(place), CONTEXT)
+    dealt = contexts.repartition(owners, "anchor").sortWithinPartitions("anchor", "key", "check")
+    answers = dealt.mapInArrow(_answers, "key long, check int, least binary")
     common.release(df.sparkSession)  # the anchors' shuffle
     answers = common.written(answers, "repeated-strings")
-    del contexts
+    del contexts, dealt
     common.release(df.sparkSession)  # the contexts' shuffle
     named = docs.select("id", "text", F.xxhash64("id", "text").alias("row"))
-    found = named.mapInArrow(_occurrences(bits), "key long, row long, doc long, begin int, size int").join(answers, "key")
+    found = named.mapInArrow(_occurrences(place), "key long, check int, row long, doc long, begin int, size int").join(answers, ["key", "check"])
     spans = found.select("row", "doc", "begin", "size", "least").mapInArrow(_spans, "row long, begin int, end int")
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     spans = common.written(spans, "repeated-spans")
