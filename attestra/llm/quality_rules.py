@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in built-in functions only.
 
 ``order_rules`` measures each rule on a sample: its cost (seconds for the sample's rows) and its selectivity (share
-it rejects), and orders the rules by rejection per cost.  ``cascade`` then evaluates them in that order inside one
+it rejects), and orders the rules by rejection per cost.  ``verdict`` then evaluates them in that order inside one
 CASE expression, whose later branches run only for rows that passed the earlier ones.  A row is kept when no rule
 rejects it, so the order changes the cost and never the verdict.
 """
@@ -129,31 +129,33 @@ def order_rules(df: DataFrame, make_rules, text_col: str = "text", sample_rows:
     return sorted(measured, key=lambda m: (-m[2] / m[1], m[0].name))
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule], added: str = "rejected_by") -> DataFrame:
-    """``df`` with ``added``: the first rule, in the given order, that rejects the row; null if none does."""
-    verdict = F.lit(None).cast("string")
+def verdict(rules: Sequence[Rule]) -> Column:
+    """The name of the first rule, in the given order, that rejects the row; null if none does."""
+    found = F.lit(None).cast("string")
     for rule in reversed(rules):
-        verdict = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(verdict)
-    return df.withColumn(added, verdict)
+        found = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(found)
+    return found
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", make_rules=default_rules, sample_rows: int = 1000) -> DataFrame:
-    """The rows of ``df`` that pass every rule, columns unchanged.
+    """The rows of ``df`` that pass every rule, columns unchanged, whatever their names.
 
-    A null text has no words and fails.  Repeated rows are judged alike; an empty table gives an empty result.
+    A null text has no words and fails.  Repeated rows are judged alike; an empty table gives an empty result.  A text is
+    judged as a whole, however long.
     """
     order = [m[0] for m in order_rules(df, make_rules, text_col, sample_rows)]
-    name = "_rejected_by"
     names = {r.name: r for r in make_rules(common.text_or_empty(text_col))}
-    return cascade(df, [names[r.name] for r in order], name).filter(F.col(name).isNull()).drop(name)
+    return df.filter(verdict([names[r.name] for r in order]).isNull())
 
 
 def statistics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 1000) -> DataFrame:
     """One row for each row of ``df``: the base counts, base_failed and the cascade's verdict ``kept``.
 
-    Null texts have no words: all counts are 0 and base_failed is true.
+    Null texts have no words: all counts are 0 and base_failed is true.  Rows that repeat give equal rows; an empty table
+    gives an empty result; other columns are not read.  A text is counted as a whole, however long.  The cascade has all
+    rules, the base ones too, in the measured order, over counts that are returned anyway.
     """
-    extra = [r for r in (m[0].name for m in order_rules(df, default_rules, text_col, sample_rows)) if r not in ("too_few_words", "repeated_words")]
+    order = [m[0].name for m in order_rules(df, default_rules, text_col, sample_rows)]
     rows = df.select(F.col(id_col).alias("doc_id"), common.text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("words", _words(F.col("text")))
     rows = rows.select(
@@ -162,14 +164,15 @@ def statistics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", sa
         n_dup_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
     )
     n, text = F.col("n_words"), F.col("text")
-    counted = {  # the same rules over counts that are there already
+    rejects = {  # the same rules over counts that are there already
+        "too_few_words": n < 10,
+        "repeated_words": F.col("n_repeat_words") * 100 > n * 20,
         "symbols": F.col("n_symbols") * 4 > F.col("word_chars"),
         "word_length": F.col("word_chars") > n * 40,
         "no_letters": ~text.rlike(r"\p{L}"),
     }
-    rows = rows.withColumn("base_failed", base_failed(n, F.col("n_repeat_words")))
-    rows = cascade(rows, [Rule("base", F.col("base_failed")), *[Rule(name, counted[name]) for name in extra]])
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
+    kept = verdict([Rule(name, rejects[name]) for name in order]).isNull()
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed(n, F.col("n_repeat_words")).alias("base_failed"), kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

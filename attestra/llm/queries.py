@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe_automaton, exact_dedup, jaccard_join, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, token_files, warc_zip
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_bpe_automaton": bpe_automaton.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_suffix_dedup": suffix_dedup.query,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -25,5 +22,3 @@ ORACLES = {
     "op5_warc_zip": warc_zip.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

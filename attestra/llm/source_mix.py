@@ -4,6 +4,8 @@ A source with target T and size S gives every document floor(T / S) certain copi
 sample without replacement: document i has an inclusion weight p_i, a uniform number u_i made from its id, and the rank
 u_i / (1 - u_i) / (p_i / (1 - p_i)), random odds over inclusion odds; documents are taken by ascending rank until the
 left-over words are reached, and the one of the source's other documents whose size fits the rest best closes the sample.
+Inclusion weights are in proportion to the logarithm of the size; where one would exceed 1 the document is certain, rank
+0, and the others' weights are solved again for what is left, so that they always add up to the words to be sampled.
 
 No source is ever sorted as a whole: ranks fall into ``BUCKETS`` buckets of a source, the buckets' sums are added up,
 and only the documents of the bucket where the target falls are ordered among themselves.  The closing document is found
@@ -56,30 +58,46 @@ def mix(
     """Rows of ``df`` with size, source_size, target and taken (copies times size) added.
 
     Null or empty texts have size 0 and are taken 0 times; sources without words have target 0.  Rows that repeat an
-    id share its random number, and ties are ordered by size.  Columns of ``df`` named like an added one are replaced.
-    Documents of a source get inclusion weights that rise with the logarithm of their size.
+    id share its random number, and ties are ordered by size and id.  Columns of ``df`` named like an added one are
+    replaced; the others come back as they are.  Of a text, however long, only the number of words counts.
     """
     size = F.size(common.words_of(text_col)).cast("long") if size is None else size
     names = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), size.alias("size"), F.col(source_col).alias("source"))
     rows = rows.withColumn("u", uniform(F.col(f"row.`{id_col}`"), F.col("source"), seed=seed))
     rows = rows.withColumn("p", F.log(F.col("size") + 2.0))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("p")).alias("_sp"))
-    sums = common.written(sums, "mix-sources")
-    plan = source_targets(sums.select("source", "source_size"), weights, share, limit).join(sums.select(F.col("source").alias("_s"), "_sp"), F.col("source").eqNullSafe(F.col("_s")))
+    # one row for each size of a source: as many as there are different sizes, not documents
+    hist = common.written(rows.groupBy("source", "size").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("p")).alias("sp")), "mix-sizes-of-sources")
+    plan = source_targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.select(
         F.col("source").alias("_source"), "source_size", "target",
         F.floor(ratio + 1e-12).alias("whole"),
         F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0)).alias("part"),
-        F.when(F.col("source_size") > 0, F.col("_sp") / F.col("source_size")).otherwise(F.lit(1.0)).alias("mean_p"),
     )
-    plan = common.written(plan, "mix-plan")
+    plan = common.written(_solved(plan, hist), "mix-plan")
     rows = _with_plan(rows, plan)
-    incl = F.least(F.greatest(F.col("part") * F.col("p") / F.col("mean_p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    rank = F.col("u") / (1 - F.col("u")) / (incl / (1 - incl))
+    odds = F.greatest(F.col("level") * F.col("p"), F.lit(1e-12))
+    rank = F.when(odds >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) / (odds / (1 - odds)))
     rows = rows.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-    return _sampled(rows, names)
+    return _sampled(rows, names, id_col)
+
+
+def _solved(plan: DataFrame, hist: DataFrame) -> DataFrame:
+    """``plan`` with ``level``: a document of weight p is included with probability level * p, or surely where that is 1
+    or more, and the included words add up to ``part`` of the source's.
+
+    Weights rise with size.  From the largest size down, a size's level supposes that all larger ones are certain; the
+    first size that is not certain at its own level has the right one.
+    """
+    order = Window.partitionBy("source").orderBy(F.col("size").desc())
+    larger = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("sp").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sizes = hist.filter("size > 0").join(plan.select("_source", "source_size", "part"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sizes = sizes.withColumn("level", (F.col("part") * F.col("source_size") - larger) / rest)
+    open_ = sizes.filter(F.col("level") * F.col("sp") < F.col("words"))
+    levels = open_.groupBy("source").agg(F.max_by("level", "size").alias("level"))
+    return plan.join(levels, F.col("_source").eqNullSafe(F.col("source")), "left").drop("source").fillna(0.0, ["level"])
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -88,7 +106,7 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def _sampled(rows: DataFrame, names: list[str]) -> DataFrame:
+def _sampled(rows: DataFrame, names: list[str], id_col: str) -> DataFrame:
     left = F.col("part") * F.col("source_size")  # words that the sample has to give
     open_ = rows.filter((F.col("size") > 0) & (F.col("part") > 0))
     sums = open_.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("part").alias("part"), F.first("source_size").alias("source_size"))
@@ -102,7 +120,7 @@ def _sampled(rows: DataFrame, names: list[str]) -> DataFrame:
     sure = live & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
     rows = rows.withColumn("state", F.when(sure, 1).when(live & (F.col("bucket") == F.col("edge")), 2).otherwise(0))
     # the documents of the edge buckets: one bucket in BUCKETS of a source
-    key = [F.col("rank"), F.col("size"), F.col(f"row.`{names[0]}`")]
+    key = [F.col("rank"), F.col("size"), F.col(f"row.`{id_col}`"), F.col("u")]
     upto = Window.partitionBy("source").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = rows.filter("state = 2").withColumn("upto", F.col("before") + F.sum("size").over(upto))
     inside = inside.withColumn("more", (F.col("upto") <= left).cast("int"))

@@ -185,8 +185,8 @@ def test_plain_zip_directories(tmp_path):
 
 def test_cascade_order_does_not_change_the_verdict(hard):
     rules = quality_rules.default_rules(common.text_or_empty("text"))
-    one = quality_rules.cascade(hard, rules).filter("rejected_by is null")
-    two = quality_rules.cascade(hard, rules[::-1]).filter("rejected_by is null")
+    one = hard.filter(quality_rules.verdict(rules).isNull())
+    two = hard.filter(quality_rules.verdict(rules[::-1]).isNull())
     three = quality_rules.quality_filter(hard)
     assert KEY(one.select(*hard.columns).collect()) == KEY(two.select(*hard.columns).collect()) == KEY(three.collect())
 
@@ -215,6 +215,54 @@ def test_mix(hard):
     assert KEY((r.doc_id, r.taken) for r in again) == KEY((r.doc_id, r.taken) for r in got)
 
 
+def brute_mix(rows, targets):
+    """The taken words of each row: certain copies, then a Pareto order sample and its closing document."""
+    out = {}
+    for source, (total, target) in targets.items():
+        mine = [r for r in rows if r[1] == source]
+        whole = math.floor(target / total + 1e-12) if total else 0
+        left = (max(target / total - whole, 0.0) if total else 0.0) * total
+        docs = [r for r in mine if r[2]]
+        weight = {r[0]: math.log(r[2] + 2.0) for r in docs}
+        sure = set()
+        while left > 0:  # documents whose inclusion would exceed 1 are certain; the others share the rest anew
+            free = [r for r in docs if r[0] not in sure]
+            level = (left - sum(r[2] for r in docs if r[0] in sure)) / sum(r[2] * weight[r[0]] for r in free)
+            more = {r[0] for r in free if level * weight[r[0]] >= 1}
+            if not more:
+                break
+            sure |= more
+        taken = {r[0]: whole for r in mine}
+        if left > 0:
+            rank = {r[0]: 0.0 if r[0] in sure else r[3] / (1 - r[3]) / (level * weight[r[0]] / (1 - level * weight[r[0]])) for r in docs}
+            reached = 0
+            for r in sorted(docs, key=lambda r: (rank[r[0]], r[2], r[0])):
+                if reached + r[2] > left:
+                    break
+                reached += r[2]
+                taken[r[0]] += 1
+            spare = [r for r in docs if taken[r[0]] == whole and abs(r[2] - (left - reached)) < left - reached]
+            if spare:
+                taken[min(spare, key=lambda r: (abs(r[2] - (left - reached)), rank[r[0]]))[0]] += 1
+        out |= {r[0]: taken[r[0]] * r[2] for r in mine}
+    return out
+
+
+def test_mix_takes_the_documents_of_the_sample(small):
+    for docs in (small, small.withColumn("source", F.lit("one")), small.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit("a")).otherwise(F.lit("b")))):
+        rows = source_mix.mix(docs.withColumn("u_", source_mix.uniform(F.col("doc_id"), F.col("source"), seed=20))).collect()
+        want = brute_mix([(r.doc_id, r.source, r.size, r.u_) for r in rows], {r.source: (r.source_size, r.target) for r in rows})
+        assert {r.doc_id: r.taken for r in rows} == want
+
+
+def test_columns_with_clashing_names(hard):
+    own = ["row", "u", "p", "rank", "bucket", "state", "more", "whole", "part", "level", "copies", "_rejected_by", "kept", "words", "n"]
+    docs = hard.select(F.create_map(F.lit("k"), F.lit(1)).alias("map"), "*", *[F.lit(-5).alias(c) for c in own])
+    for out in (source_mix.mix(docs), quality_rules.quality_filter(docs)):
+        for r in out.collect():
+            assert r.map == {"k": 1} and all(r[c] == -5 for c in own)
+
+
 def test_mix_comes_near(small):
     rows = source_mix.mix(small.withColumn("source", F.lit("s"))).collect()
     assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r.size for r in rows) / 2
