@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, exact dedup, near duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs.  All but the last return the columns of their docs.
+stage's docs.  All but the last return the columns of their docs, with the docs' own values, whatever the columns are
+called.  In every stage a null text counts as empty and an empty table gives an empty result; texts are read whole, however
+long; what becomes of repeated rows, ties and null ids is said at the stage.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ def _unpacked(rows: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; empty texts are rejected, repeated rows are judged alike."""
     return quality_rules.quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id, one of them where it repeats; a null id is less than any other."""
     return _unpacked(exact_dedup.exact_dedup(_packed(docs, "doc_id", "text")).filter("kept"), docs, "doc_id", "text")
 
 
@@ -54,7 +56,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, never an empty one; rows that repeat an id share its random number."""
     own = ("doc_id", "text", "source")
     taken = source_mix.mix(_packed(docs, *own)).filter("taken > 0")
     copies = F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))
@@ -62,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the decoded text's digest."""
+    """doc_id, n_tokens, ids, and the decoded text's digest, one row for each row."""
     rows = bpe_automaton.encode(docs, bpe_automaton.tokenizer_path())
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
