@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .pretokens import BatchEncoder, Vocabulary, class_table
 
-TABLE_ROWS = 1_000_000  # transitions on file at most, about 100 MB; the table starts anew beyond
+TABLE_ROWS = 300_000  # transitions on file at most, about 30 MB; the table starts anew beyond
 
 
 class Automaton:
@@ -167,13 +167,13 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     that repeat are encoded alike; an empty table gives an empty result.  Other columns are not read.  A text is encoded
     as a whole, however long, in some 60 bytes of memory a character.
     """
-    return _rows(df, id_col, text_col).mapInArrow(_encoded(path, class_table(path), False), "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return _rows(df, id_col, text_col).mapInArrow(common.tidy(_encoded(path, class_table(path), False)), "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, as ``encode`` has them."""
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _rows(df, id_col, text_col).mapInArrow(_encoded(path, class_table(path), True), schema).withColumnRenamed("id", id_col)
+    return _rows(df, id_col, text_col).mapInArrow(common.tidy(_encoded(path, class_table(path), True)), schema).withColumnRenamed("id", id_col)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -80,12 +80,22 @@ def publish(path: str, write) -> None:
 
 
 def slices(batches, rows: int = 1000):
-    """Arrow batches in slices of ``rows``, so that Python objects are made for few texts at a time; memory is given
-    back at the end, for workers live on."""
+    """Arrow batches in slices of ``rows``, so that Python objects are made for few texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    trim()
+
+
+def tidy(step):
+    """``step`` over Arrow batches, which hands freed memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def trim() -> None:

@@ -278,9 +278,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     owners = owners or common.owners_for(spark)
     rows = df.select(F.col(id_col).cast("long"), common.text_or_empty(text_col))
-    combined = rows.mapInArrow(_combine(owners, hold_bytes), COMBINED)
+    combined = rows.mapInArrow(common.tidy(_combine(owners, hold_bytes)), COMBINED)
     folder = common.local_path(common.new_folder(spark, "extendible-hash"))
-    return combined.repartitionById(owners, F.col("owner")).mapInArrow(_own(folder), GROUPS)
+    return combined.repartitionById(owners, F.col("owner")).mapInArrow(common.tidy(_own(folder)), GROUPS)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:

@@ -220,7 +220,7 @@ def _profile(share: float, block_docs: int):
             yield out(batch.column(0), sets)
             held += sets
             docs, size = docs + len(sets), size + sum(map(len, sets))
-            if docs >= block_docs or size >= 6_000_000:
+            if docs >= block_docs or size >= 3_000_000:
                 yield frequent(held, docs)
                 held, docs, size = [], 0, 0
         if size:
@@ -450,7 +450,7 @@ def _filter_bits(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
         for part, mask in marks.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mask.tobytes()])], names=["part", "mask"])
 
-    made = ids.mapInArrow(own, "part int, mask binary").repartition(min(slices, common.owners_for(ids.sparkSession)), "part").mapInArrow(merge, "part int, mask binary")
+    made = ids.mapInArrow(common.tidy(own), "part int, mask binary").repartition(min(slices, common.owners_for(ids.sparkSession)), "part").mapInArrow(common.tidy(merge), "part int, mask binary")
     whole = bytearray(bits // 8)
     for row in made.collect():  # at most bits / 8 bytes
         at = row.part * (bits // slices // 8)
@@ -482,7 +482,7 @@ class _Join:
         self.docs, self.spark = docs, docs.sparkSession
         self.owners = common.owners_for(self.spark)
         # a third of all rows may be one set: minima are combined before the shuffle
-        self.profile = common.written(docs.mapInArrow(_profile(COMMON_SHARE, 8192), PROFILE), "profiles")
+        self.profile = common.written(docs.mapInArrow(common.tidy(_profile(COMMON_SHARE, 8192)), PROFILE), "profiles")
         rows = self.profile.filter("set_id is not null")
         self.nodes = common.written(rows.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("counts").alias("counts"), F.first("bands").alias("bands")), "sets")
         self.links = self.spark.createDataFrame([], "u long, v long")
@@ -491,7 +491,7 @@ class _Join:
     def _sets(self, keys: DataFrame, family: int = 1) -> DataFrame:
         """(set_id, body) of ``keys`` and a few others, from the texts."""
         reps = self.nodes.join(keys, "set_id", "left_semi").select("rep")
-        return self.docs.mapInArrow(_sets_of(_filter_bits(reps), family), "set_id long, body binary")
+        return self.docs.mapInArrow(common.tidy(_sets_of(_filter_bits(reps), family)), "set_id long, body binary")
 
     def verified(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are links.  A set is the ``a`` of a few pairs and may be the ``b``, the hub, of very many;
@@ -501,7 +501,7 @@ class _Join:
         roles = roles.unionByName(pairs.select(F.col("hub").alias("set_id"), "hub", "salt", F.lit(0).alias("role")).distinct())
         sets = roles.join(self._sets(roles.select("set_id").distinct()), "set_id").select("hub", "salt", "role", "set_id", "body")
         dealt = sets.repartition(self.owners, "hub", "salt").sortWithinPartitions("hub", "salt", "role")
-        self.links = self.links.unionByName(common.written(dealt.mapInArrow(_verify, "u long, v long"), "links"))
+        self.links = self.links.unionByName(common.written(dealt.mapInArrow(common.tidy(_verify), "u long, v long"), "links"))
 
     def connect(self) -> None:
         self.comps = common.written(components(self.links), "components")
@@ -535,8 +535,8 @@ class _Join:
         last = [r.common for r in often.orderBy("times", "common").collect()]
         body = np.array(last, np.int64).tobytes()
         rows = "sig long, set_id long, n int, room int"
-        dealt = self.docs.mapInArrow(_prefixes(body), rows)
-        shared = dealt.repartition(self.owners, "sig").sortWithinPartitions("sig", "n", "set_id").mapInArrow(_shared, rows)
+        dealt = self.docs.mapInArrow(common.tidy(_prefixes(body)), rows)
+        shared = dealt.repartition(self.owners, "sig").sortWithinPartitions("sig", "n", "set_id").mapInArrow(common.tidy(_shared), rows)
         self.shared = common.written(shared, "blocks")
         del dealt, shared
         common.release(self.spark)
@@ -547,7 +547,7 @@ class _Join:
         mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
         rows = common.written(rows.join(mixed, "sig", "left_semi"), "mixed-blocks")
         points = rows.join(self.nodes.select("set_id", "counts"), "set_id").select("sig", "set_id", "n", "room", "component", "counts")
-        found = points.repartition(self.owners, "sig").sortWithinPartitions("sig").mapInArrow(_candidates, "group long, a long, b long")
+        found = points.repartition(self.owners, "sig").sortWithinPartitions("sig").mapInArrow(common.tidy(_candidates), "group long, a long, b long")
         found = common.written(found, "candidates")
         del rows, mixed, points
         common.release(self.spark)
@@ -557,7 +557,7 @@ class _Join:
         short = found.filter("b is null").select("group", F.col("a").alias("set_id")).distinct()
         sets = self._sets(short.select("set_id").distinct(), 0).dropDuplicates(["set_id"])
         short = short.join(self.placed().select("set_id", "component"), "set_id").join(sets, "set_id").select("group", "set_id", "component", "body")
-        links = short.repartition(self.owners, "group").sortWithinPartitions("group").mapInArrow(_forest_links, "u long, v long")
+        links = short.repartition(self.owners, "group").sortWithinPartitions("group").mapInArrow(common.tidy(_forest_links), "u long, v long")
         self.links = self.links.unionByName(common.written(links.distinct(), "links"))
         self.connect()
 

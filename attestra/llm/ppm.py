@@ -237,7 +237,7 @@ def train(texts: DataFrame, text_col: str = "text", seed: int = 1) -> Model:
     """Count all of ``texts``.  Nulls count as empty texts; no texts give a model of equally likely bytes."""
     spark = texts.sparkSession
     folder = common.local_path(common.new_folder(spark, "ppm"))
-    rows = texts.select(common.text_or_empty(text_col)).mapInArrow(_count, "gram long, word binary, n long")
+    rows = texts.select(common.text_or_empty(text_col)).mapInArrow(common.tidy(_count), "gram long, word binary, n long")
     sums = common.written(rows.groupBy("gram", "word").agg(F.sum("n").alias("n")), "ppm-counts")
     grams, words = sums.filter("gram is not null").select("gram", "n"), sums.filter("word is not null").select("word", "n")
     n_grams = grams.count()
@@ -248,9 +248,9 @@ def train(texts: DataFrame, text_col: str = "text", seed: int = 1) -> Model:
     tries, files = max(1, -(-n_grams // FILE_ROWS)), max(1, -(-types // FILE_ROWS))
     shard = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
     bucket = F.floor((shard * 40503) % 65536 * tries / 65536).cast("int")
-    grams.repartitionById(tries, bucket).mapInArrow(_write_trie(folder, n1), "rows long").agg(F.sum("rows")).first()
-    keyed = words.mapInArrow(_word_keys(seed), "key long, n long, high long")
-    keyed.repartitionById(files, F.floor(F.col("high") * files / (1 << 24)).cast("int")).select("key", "n").mapInArrow(_write_words(folder), "rows long").agg(F.sum("rows")).first()
+    grams.repartitionById(tries, bucket).mapInArrow(common.tidy(_write_trie(folder, n1)), "rows long").agg(F.sum("rows")).first()
+    keyed = words.mapInArrow(common.tidy(_word_keys(seed)), "key long, n long, high long")
+    keyed.repartitionById(files, F.floor(F.col("high") * files / (1 << 24)).cast("int")).select("key", "n").mapInArrow(common.tidy(_write_words(folder)), "rows long").agg(F.sum("rows")).first()
     return Model(folder, tries, files, n1, int(tokens), int(types), seed)
 
 
@@ -312,7 +312,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """
     rows = df.select(F.col(id_col).cast("long"), held_out(id_col), common.text_or_empty(text_col))
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(_scores(model), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.tidy(_scores(model)), schema).withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

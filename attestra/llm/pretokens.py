@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
-CHUNK = 1 << 19  # characters handled at once; a longer document is a chunk of its own
+CHUNK = 1 << 18  # characters handled at once; a longer document is a chunk of its own
 
 
 def class_table(tokenizer_json: str) -> bytes:
@@ -134,7 +134,7 @@ class WordCache:
     results never rest on a hash.  The buffers hold ``most`` code points and as many ids; then the cache starts anew.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 4_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 2_000_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 

@@ -189,8 +189,8 @@ def shared_anchors(texts: DataFrame) -> tuple[str, int]:
     spark = texts.sparkSession
     ranges = 1 << max(6, (common.owners_for(spark) - 1).bit_length())
     folder = common.local_path(common.new_folder(spark, "anchors"))
-    dealt = texts.mapInArrow(_dealt(ranges), "range int, hashes binary")
-    dealt.repartitionById(ranges, F.col("range")).mapInArrow(_marked(folder, ranges), "range int").count()
+    dealt = texts.mapInArrow(common.tidy(_dealt(ranges)), "range int, hashes binary")
+    dealt.repartitionById(ranges, F.col("range")).mapInArrow(common.tidy(_marked(folder, ranges)), "range int").count()
     return folder, ranges
 
 
@@ -335,7 +335,6 @@ def _answers(batches):
         held, count = [whole.slice(cut)], len(anchor) - cut
     if held:
         yield from answered(pa.concat_tables(held).combine_chunks())
-    common.trim()
 
 
 def _occurrences(place: tuple[str, int]):
@@ -421,23 +420,23 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
     place = shared_anchors(docs.select("text"))
     owners = common.owners_for(df.sparkSession)
-    contexts = docs.mapInArrow(_distinct(place), CONTEXT)
+    contexts = docs.mapInArrow(common.tidy(_distinct(place)), CONTEXT)
     dealt = contexts.repartition(owners, "anchor").sortWithinPartitions("anchor", "key", "check")
-    answers = dealt.mapInArrow(_answers, "key long, check int, least binary")
+    answers = dealt.mapInArrow(common.tidy(_answers), "key long, check int, least binary")
     common.release(df.sparkSession)  # the anchors' shuffle
     answers = common.written(answers, "repeated-strings")
     del contexts, dealt
     common.release(df.sparkSession)  # the contexts' shuffle
     named = docs.select("id", "text", F.xxhash64("id", "text").alias("row"))
-    found = named.mapInArrow(_occurrences(place), "key long, check int, row long, doc long, begin int, size int").join(answers, ["key", "check"])
-    spans = found.select("row", "doc", "begin", "size", "least").mapInArrow(_spans, "row long, begin int, end int")
+    found = named.mapInArrow(common.tidy(_occurrences(place)), "key long, check int, row long, doc long, begin int, size int").join(answers, ["key", "check"])
+    spans = found.select("row", "doc", "begin", "size", "least").mapInArrow(common.tidy(_spans), "row long, begin int, end int")
     spans = spans.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     spans = common.written(spans, "repeated-spans")
     del found
     common.release(df.sparkSession)
     joined = named.join(spans.hint("shuffle_hash"), "row", "left").select("id", "text", "spans")
     out = "id long, n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary"
-    rows = joined.mapInArrow(_removed, out)
+    rows = joined.mapInArrow(common.tidy(_removed), out)
     if digest:
         rows = rows.select("id", "n_bytes", "n_removed", "spans", F.sha2("kept", 256).alias("kept_sha256"))
     return rows.withColumnRenamed("id", id_col)

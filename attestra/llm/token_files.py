@@ -146,7 +146,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int =
     rows = rows.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
     order = ["id", "h", "n"]
     dealt = rows.repartitionByRange(parts or common.owners_for(spark), *order).sortWithinPartitions(*order).select("id", "text")
-    files = dealt.mapInArrow(_write(common.local_path(folder), tokenizer, class_table(tokenizer), end_id), "part int, path string, docs long, tokens long")
+    files = dealt.mapInArrow(common.tidy(_write(common.local_path(folder), tokenizer, class_table(tokenizer), end_id)), "part int, path string, docs long, tokens long")
     files = common.written(files, "token-manifest")  # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
@@ -168,7 +168,7 @@ def _read(batches):
 def read_digests(files: DataFrame) -> DataFrame:
     """From the files: doc_id, start, n_tokens and the ids' crc32 of every document, a task for a few files."""
     paths = files.select("path", "start").repartition(common.owners_for(files.sparkSession), "path")
-    return paths.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return paths.mapInArrow(common.tidy(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
     smallest id are responses.  A null id is written as a response under no page.  An empty table gives empty packages.
     """
     rows = with_originals(pages, id_col, payload_col, least)
-    files = rows.mapInArrow(_write(common.local_path(folder), level), "path string, records long")
+    files = rows.mapInArrow(common.tidy(_write(common.local_path(folder), level)), "path string, records long")
     return common.written(files, "warc-manifest")
 
 
@@ -260,7 +260,7 @@ def _read(batches):
 def read_archives(files: DataFrame) -> DataFrame:
     """Every record of the packages: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     paths = files.select("path").repartition(common.owners_for(files.sparkSession), "path")
-    return paths.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return paths.mapInArrow(common.tidy(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
