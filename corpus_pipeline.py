@@ -58,7 +58,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, never an empty one; rows that repeat an id share its random number."""
     own = ("doc_id", "text", "source")
-    taken = source_mix.mix(_packed(docs, *own)).filter("taken > 0")
+    # words are counted once; the mix reads the counts several times
+    sized = _packed(docs, *own).withColumn("_size", F.size(common.words_of("text")).cast("long"))
+    taken = source_mix.mix(common.written(sized, "mix-documents"), size=F.col("_size")).filter("taken > 0")
     copies = F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int"))
     return _unpacked(taken.withColumn("_copy", F.explode(copies)), docs, *own)
 
