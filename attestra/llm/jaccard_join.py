@@ -427,7 +427,7 @@ def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
     return (finish(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
 
 
-def _filter_bits(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
+def filter_bits(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
     """A bit map of ids, made in slices by the executors; its size is fixed by ``bits``."""
     slices = 64
 
@@ -458,6 +458,18 @@ def _filter_bits(ids: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(whole)
 
 
+def passes(bits: bytes, ids):
+    """A column: whether an id, never null, may be among those of ``filter_bits``; false is sure."""
+    mask = np.frombuffer(bits, np.uint8)
+
+    @F.arrow_udf("boolean")
+    def found(ids: pa.Array) -> pa.Array:
+        bit = _bit(ids.to_numpy(zero_copy_only=False), len(mask) * 8)
+        return pa.array((mask[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))
+
+    return found(ids)
+
+
 def _verify(batches):
     """Rows (hub, salt, role, set_id, body), a hub's own row before the sets that are compared with it: the links."""
     held = None
@@ -491,7 +503,7 @@ class _Join:
     def _sets(self, keys: DataFrame, family: int = 1) -> DataFrame:
         """(set_id, body) of ``keys`` and a few others, from the texts."""
         reps = self.nodes.join(keys, "set_id", "left_semi").select("rep")
-        return self.docs.mapInArrow(common.tidy(_sets_of(_filter_bits(reps), family)), "set_id long, body binary")
+        return self.docs.mapInArrow(common.tidy(_sets_of(filter_bits(reps), family)), "set_id long, body binary")
 
     def verified(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are links.  A set is the ``a`` of a few pairs and may be the ``b``, the hub, of very many;
