@@ -48,11 +48,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = rows.select("_key", F.col("_row.doc_id").alias("id")).distinct()
     best = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "times")).alias("best"))
     stay = common.written(best.select(F.col("best._key").alias("_key"), F.col("best.times").alias("times")), "near-stay")
-    if not stay.filter("times > 1").limit(1).count():
-        return rows.join(stay, "_key", "left_semi").select("_row.*")
-    again = rows.join(stay.filter("times > 1"), "_key", "left_semi").withColumns({"_id": F.col("_row.doc_id"), "_text": F.col("_row.text")})
+    # most rows stay, as the only ones of their key; a filter of the other keys passes them without a shuffle of their texts
+    gone = groups.join(stay, "_key", "left_anti").select("_key").unionByName(stay.filter("times > 1").select("_key"))
+    doubtful = jaccard_join.passes(jaccard_join.filter_bits(gone), F.col("_key"))
+    rows = rows.withColumn("_doubtful", doubtful)
+    sure, rows = rows.filter("not _doubtful").select("_row.*"), rows.filter("_doubtful").drop("_doubtful")
     once = rows.join(stay.filter("times <= 1"), "_key", "left_semi")
-    return once.select("_row.*").unionByName(again.dropDuplicates(["_key", "_id", "_text"]).select("_row.*"))
+    again = rows.join(stay.filter("times > 1"), "_key", "left_semi").withColumns({"_id": F.col("_row.doc_id"), "_text": F.col("_row.text")})
+    return sure.unionByName(once.select("_row.*")).unionByName(again.dropDuplicates(["_key", "_id", "_text"]).select("_row.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
