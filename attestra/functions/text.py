@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MISSING = ("", "unknown", "tbd", "unspecified", "none", "n/a", "미확인", "미표기", "없음")
+# What counts as missing, and the section names that are headings by themselves.
+MISSING = ("", "unknown", "tbd", "unspecified", "미확인")
+SECTIONS = (
+    "abstract", "introduction", "background", "related work", "method", "methodology", "approach", "experiment", "experiments",
+    "result", "results", "discussion", "limitation", "limitations", "conclusion", "future work", "appendix",
+)
+NUMBERED = r"([0-9]+(\.[0-9]+)*\s+)?"  # a section number that may stand before a heading
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this")
-MONEY_OR_SCALE = r"(?i)(\$|€|₩|usd|eur|krw|percent|%|thousand|million|billion|trillion)"
+# Marks of money, scale and growth in a claim.
+MONEY_OR_SCALE = r"(?i)([$€₩%]|million|billion|\busd\b|달러|억|조\s*원|성장률|매출)"
 
 
 def normalize_text(x: Column) -> Column:
@@ -28,9 +35,10 @@ def token_count(x: Column) -> Column:
 
 
 def is_heading(x: Column) -> Column:
-    """Short lines that are a known section name, all capitals, or numbered."""
-    known = F.lower(x).rlike(r"^(abstract|introduction|background|related work|method|methods|evaluation|results|discussion|conclusion|references)$")
-    return (F.length(x) <= 100) & (known | x.rlike(r"^[A-Z][A-Z0-9 ,:-]{3,}$") | x.rlike(r"^[0-9]+(\.[0-9]+)*\.? +[A-Z]"))
+    """Lines of up to 100 characters that are a section name or all capitals, numbered or not, or any words with a number."""
+    named = F.lower(x).rlike(f"^{NUMBERED}({'|'.join(SECTIONS)})\\s*$")
+    capitals = x.rlike(f"^{NUMBERED}[A-Z][A-Z\\s&:/-]{{3,}}$")
+    return (F.length(x) <= 100) & (named | capitals | x.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+[A-Za-z].+$"))
 
 
 def content_hash(x: Column, length: int = 64) -> Column:
@@ -80,16 +88,26 @@ def url_host(x: Column) -> Column:
 
 
 def canonical_url(x: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no trailing slash; the query is kept."""
+    """Scheme and host in lower case, no fragment, an empty path as /; other paths and the query are kept."""
     bare = F.regexp_replace(x, "#.*$", "")
-    head = F.lower(F.regexp_extract(bare, r"^(https?://[^/?]+)", 1))
-    return F.regexp_replace(F.concat(head, F.regexp_replace(bare, r"^https?://[^/?]+", "")), "/+$", "")
+    rest = F.regexp_replace(bare, r"^https?://[^/?]+", "")
+    return F.concat(F.lower(F.regexp_extract(bare, r"^(https?://[^/?]+)", 1)), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
+# Names and addresses that are not public, as prefixes of the IPv4 blocks or whole names.
+LOCAL_NAMES = r"(^|\.)(localhost|local|internal)\.?$"
+LOCAL_BLOCKS = (
+    r"^(0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.[0-9]+\.[0-9]+\.[0-9]+$|^169\.254\.[0-9]+\.[0-9]+$|^172\.(1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+$"
+    r"|^192\.168\.[0-9]+\.[0-9]+$|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.[0-9]+\.[0-9]+$|^192\.0\.[02]\.[0-9]+$|^198\.(1[89]\.[0-9]+|51\.100)\.[0-9]+$|^203\.0\.113\.[0-9]+$"
+)
 
 
 def public_url(x: Column) -> Column:
-    """http(s), a dotted host that is not local, no credentials."""
+    """http(s), a dotted host that is neither a local name nor in a private or reserved IPv4 block, no credentials.
+
+    An IPv6 host in brackets has no dotted name and does not pass."""
     host = url_host(x)
-    return x.rlike("^https?://") & ~x.rlike("^https?://[^/]*@") & host.contains(".") & ~host.rlike(r"(^localhost$|\.local$|\.internal$|^127\.|^10\.|^192\.168\.)")
+    return x.rlike("^https?://") & ~x.rlike("^https?://[^/?#]*@") & host.contains(".") & ~host.rlike(LOCAL_NAMES) & ~host.rlike(LOCAL_BLOCKS) & ~host.startswith("[")
 
 
 def markdown_escape(x: Column) -> Column:

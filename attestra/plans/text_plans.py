@@ -51,12 +51,15 @@ def t3(spark, d):
 _LINES = "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
 
 
+_NAMES = "|".join(T.SECTIONS)
+
+
 @query("t4_headings", f"""WITH l AS ({_LINES}) SELECT doc_id, count(*) AS lines, count(*) FILTER (length(line) <= 100 AND (
-  regexp_matches(lower(line), '^(abstract|introduction|background|related work|method|methods|evaluation|results|discussion|conclusion|references)$')
-  OR regexp_matches(line, '^[A-Z][A-Z0-9 ,:-]{{3,}}$') OR regexp_matches(line, '^[0-9]+(\\.[0-9]+)*\\.? +[A-Z]'))) AS headings FROM l GROUP BY doc_id""")
+  regexp_matches(lower(line), '^([0-9]+(\\.[0-9]+)*\\s+)?({_NAMES})\\s*$')
+  OR regexp_matches(line, '^([0-9]+(\\.[0-9]+)*\\s+)?[A-Z][A-Z\\s&:/-]{{3,}}$') OR regexp_matches(line, '^[0-9]+(\\.[0-9]+)*\\.?\\s+[A-Za-z].+$'))) AS headings FROM l GROUP BY doc_id""")
 def t4(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_heading(F.col("line"))).alias("headings"))
+    lines = F.split("text", "\n", -1)
+    return _docs(spark, d).filter("text is not null").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, T.is_heading)).cast("long").alias("headings"))
 
 
 @query("t11_numeric_tokens", r"""WITH n AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.,-])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)', 1), lambda x: replace(x, ',', '')))) AS ns FROM documents)
@@ -74,7 +77,7 @@ def t16(spark, d):
     return _docs(spark, d).select("doc_id", F.size(x).cast("long").alias("n"), F.sha2(F.array_join(x, " "), 256).alias("sha"))
 
 
-@query("t18_quantitative", r"SELECT doc_id, regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)(\$|€|₩|usd|eur|krw|percent|%|thousand|million|billion|trillion)') AS quantitative FROM documents")
+@query("t18_quantitative", rf"SELECT doc_id, regexp_matches(text, '[0-9]') AND regexp_matches(text, '{T.MONEY_OR_SCALE}') AS quantitative FROM documents")
 def t18(spark, d):
     return _docs(spark, d).select("doc_id", T.quantitative_claim(F.col("text")).alias("quantitative"))
 
@@ -84,7 +87,8 @@ def t19(spark, d):
     return _docs(spark, d).select("doc_id", T.content_hash(F.col("text"), 16).alias("content_id"), T.stable_id(F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("stable_id"))
 
 
-_CANON = r"regexp_replace(lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)', 1)) || regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', ''), '/+$', '')"
+_REST = "regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', '')"
+_CANON = rf"lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^(https?://[^/?]+)', 1)) || CASE WHEN starts_with({_REST}, '/') THEN {_REST} ELSE '/' || {_REST} END"
 
 
 @query("t21_canonical_url", f"""SELECT page_id, {_CANON} AS canonical, lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages""")
@@ -92,8 +96,8 @@ def t21(spark, d):
     return _pages(spark, d).select("page_id", T.canonical_url(F.col("url")).alias("canonical"), T.url_host(F.col("url")).alias("host"))
 
 
-@query("s21_public_url", r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages)
-SELECT page_id, regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '^https?://[^/]*@') AND contains(host, '.') AND NOT regexp_matches(host, '(^localhost$|\.local$|\.internal$|^127\.|^10\.|^192\.168\.)') AS ok FROM h""")
+@query("s21_public_url", rf"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM pages)
+SELECT page_id, regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '^https?://[^/?#]*@') AND contains(host, '.') AND NOT regexp_matches(host, '{T.LOCAL_NAMES}') AND NOT regexp_matches(host, '{T.LOCAL_BLOCKS}') AND NOT starts_with(host, '[') AS ok FROM h""")
 def s21(spark, d):
     return _pages(spark, d).select("page_id", T.public_url(F.col("url")).alias("ok"))
 
@@ -135,9 +139,9 @@ def t41(spark, d):
     return _docs(spark, d).select("doc_id", F.regexp_replace(F.regexp_extract("text", r'https?://[^\s<>"]+', 0), r"[.,;:)\]]+$", "").alias("url"))
 
 
-@query("f11_missing", "SELECT doc_id, text IS NULL OR lower(trim(split_part(text, chr(10), 1))) IN ('','unknown','tbd','unspecified','none','n/a','미확인','미표기','없음') AS missing FROM documents")
+@query("f11_missing", "SELECT doc_id, text IS NULL OR lower(trim(text)) IN ('','unknown','tbd','unspecified','미확인') AS missing FROM documents")
 def f11(spark, d):
-    return _docs(spark, d).select("doc_id", T.is_missing(F.split("text", "\n")[0]).alias("missing"))
+    return _docs(spark, d).select("doc_id", T.is_missing(F.col("text")).alias("missing"))
 
 
 @query("k4_redaction", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'AKIA[A-Z0-9]{12,}', '[REDACTED]', 'g'), '(?i)(password|secret|token|api_?key)(["'']? *[:=] *["'']?)[A-Za-z0-9+/_.=-]{8,}', '\1\2[REDACTED]', 'g'), '[0-9a-f]{32,}', '[REDACTED]', 'g')) AS sha FROM documents""")

@@ -82,3 +82,19 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def flags(spark, texts, rule):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", rule(F.col("x")).alias("y")).orderBy("i")
+    return [r.y for r in rows.collect()]
+
+
+def test_text_rules(spark):
+    headings = ["Abstract", "2.1 Future Work", "LIMITATIONS", "3 RESULTS & SCOPE", "4. Any words here", "Plain sentence here", "x" * 101, "References are no name"]
+    assert flags(spark, headings, T.is_heading) == [True, True, True, True, True, False, False, False]
+    assert flags(spark, ["5 neural layers", "5 USD", "5 usdx", "no number, $", "3 million", "12%"], T.quantitative_claim) == [False, True, False, False, True, True]
+    urls = ["HTTPS://A.example.com", "https://A.example.com/b/#c", "https://a.example.com?q=1"]
+    assert flags(spark, [u.replace("HTTPS", "https") for u in urls], T.canonical_url) == ["https://a.example.com/", "https://a.example.com/b/", "https://a.example.com/?q=1"]
+    guarded = ["https://example.com/x", "http://172.20.1.2/", "http://172.32.1.2/", "http://169.254.1.1/", "http://[::1]/", "http://u:p@example.com/", "http://a.localhost/", "ftp://example.com"]
+    assert flags(spark, guarded, T.public_url) == [True, False, True, False, False, False, False, False]
+    assert flags(spark, [None, " TBD ", "none", "미확인", "text"], T.is_missing) == [True, True, False, True, False]
