@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 9
-CHUNK = 1 << 18  # characters handled at once; a longer document is a chunk of its own
+CHUNK = 1 << 19  # characters handled at once; a longer document is a chunk of its own
 
 
 def class_table(tokenizer_json: str) -> bytes:
@@ -134,13 +134,13 @@ class WordCache:
     results never rest on a hash.  The buffers hold ``most`` code points and as many ids; then the cache starts anew.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 2_000_000):
+    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 6_000_000):
         self.encode_words, self.most = encode_words, most
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.n, self.text_at, self.text_n = (np.zeros(0, np.int32) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.text_used = np.zeros(1 << 16, np.uint32), 0
 
@@ -155,7 +155,7 @@ class WordCache:
             self._add(unique[new], cp, start[where[new]], stop[where[new]], whole)
             slot = np.searchsorted(self.keys, unique)
         slot = slot[inverse]
-        at, n = self.at[slot], self.n[slot]
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         size = stop - start
         other = self.text_n[slot] != size
         # every code point against the one on file; words of another length are compared as far as they fit the buffer
@@ -196,7 +196,7 @@ class WordCache:
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     """``x``, longer if it has fewer than ``n`` places."""
-    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x) // 2, n - len(x)), x.dtype)])
 
 
 class BatchEncoder:
