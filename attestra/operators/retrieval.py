@@ -60,6 +60,37 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = config.RRF_K) -> Dat
     return rows.groupBy("query_id", "item_id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
 
 
+def candidate_gate(fused: DataFrame, most: int = config.FUSION_CANDIDATES) -> DataFrame:
+    """The ``most`` best fused items of each query (query_id, item_id, score, visual) with ``slot``.
+
+    Where no visual is among them, the best visual beyond takes the last slot, so that the gate keeps its size."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    ranked = fused.withColumn("rank", F.row_number().over(order))
+    first = F.min(F.when(F.col("visual"), F.col("rank"))).over(Window.partitionBy("query_id"))
+    kept = (F.col("rank") < most) | ((F.col("rank") == most) & F.coalesce(F.col("first") <= most, F.lit(True))) | ((F.col("rank") > most) & (F.col("rank") == F.col("first")))
+    return ranked.withColumn("first", first).filter(kept).withColumn("slot", F.least("rank", F.lit(most))).drop("first", "rank")
+
+
+def rerank(gate: DataFrame, tokens: DataFrame, k: int = config.RRF_K) -> DataFrame:
+    """Gate rows in the order of MaxSim alone, with reciprocal scores: (query_id, item_id, max_sim, rank, score).
+
+    ``tokens`` has (id, tokens array<array>); it is joined by key, so only pairs of the gate are scored."""
+    asked = tokens.select(F.col("id").alias("query_id"), F.col("tokens").alias("_q"))
+    items = tokens.select(F.col("id").alias("item_id"), F.col("tokens").alias("_d"))
+    best = F.transform("_q", lambda q: F.array_max(F.transform("_d", lambda t: dot(t, q))))
+    mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size("_q")
+    scored = gate.select("query_id", "item_id").join(asked, "query_id").join(items, "item_id").select("query_id", "item_id", F.round(mean, 6).alias("max_sim"))
+    order = Window.partitionBy("query_id").orderBy(F.col("max_sim").desc(), F.col("item_id").asc())
+    return scored.withColumn("rank", F.row_number().over(order)).withColumn("score", F.round(1.0 / (F.lit(k) + F.col("rank")), 9))
+
+
+def multi_query_fusion(lists: DataFrame, request: str, k: int = config.RRF_K) -> DataFrame:
+    """(request, item_id, score, rank): reciprocal ranks summed over the final lists of a request's queries."""
+    fused = lists.groupBy(request, "item_id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
+    order = Window.partitionBy(request).orderBy(F.col("score").desc(), F.col("item_id").asc())
+    return fused.withColumn("rank", F.row_number().over(order))
+
+
 def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     """Mean over query tokens of the best dot product with a document's tokens; tables (id, pos, vector)."""
     q = query_tokens.select(F.col("id").alias("query_id"), F.col("pos").alias("q_pos"), F.col("vector").alias("q"))
