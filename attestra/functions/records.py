@@ -33,6 +33,7 @@ CONDITIONAL = {
     "standardization": "활용 가능한 관련 규격이며 선정 구현의 규격 준수·인증을 입증하지 않음",
     "business_value": "기술 효과가 고객 비용 절감으로 이어지는지는 워크로드·품질·통합비·운영비 검증 필요",
 }
+WORDS_SET_ASIDE = ("the", "and", "with", "from", "that", "this", "result", "results")  # Fixed values.
 KINDS = {"text": 0, "caption": 1, "table": 2, "figure": 3, "chart": 3, "diagram": 3}  # Fixed values: order on a page.
 
 
@@ -118,5 +119,19 @@ def aggregate_suffix(whole: Column, rows: Column, chunk_id: Column) -> Column:
     return F.when(whole, "whole").when(F.size(data) > 0, span).otherwise(F.concat(F.lit("rows-"), F.substring(chunk_id, 1, 12)))
 
 
+def evidence_method(mode: Column, hardware: Column) -> Column:
+    """How a result came about; a measurement on named accelerators is an experiment on them."""
+    gpu = F.coalesce(hardware, F.lit("")).rlike("(?i)GPU|[AH][12]00|RTX|CUDA")
+    known = lookup({"emulated": "emulation", "simulated": "simulation", "analytical": "analysis"}, mode)
+    return F.when(mode == "measured", F.when(gpu, "gpu_experiment").otherwise("measurement")).otherwise(F.coalesce(known, F.lit("unknown")))
+
+
+def lexical_words(x: Column) -> Column:
+    """Distinct Latin words of three characters and more, lower case, no marks at their ends, without stop words, sorted."""
+    words = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("[A-Za-z][A-Za-z0-9_.+/-]{2,}"), F.lit(0))
+    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[._+/-]+|[._+/-]+$", ""))
+    return F.array_sort(F.array_except(bare, F.array(*map(F.lit, ("", *WORDS_SET_ASIDE)))))
+
+
 def kind_order(x: Column) -> Column:
     return F.coalesce(lookup(KINDS, x), F.lit(9))

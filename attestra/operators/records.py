@@ -62,6 +62,17 @@ def resolve_aliases(refs: DataFrame, aliases: DataFrame, raw: str = "ref") -> Da
     return both.withColumn("resolved", F.coalesce("_whole", "_part", "_bare")).drop("_bare", "_whole", "_part")
 
 
+def requirement_grid(requests: DataFrame, request: str, criteria: list[str], supplied: DataFrame) -> DataFrame:
+    """Every criterion of every request with its supplied (target, priority), the last by ``position``, or the defaults.
+
+    ``supplied`` has (request, criterion, target, priority, position); an unknown priority becomes should."""
+    last = supplied.groupBy(request, "criterion").agg(F.max(F.struct("position", "target", "priority")).alias("s"))
+    grid = requests.select(request).distinct().withColumn("criterion", F.explode(F.array(*map(F.lit, criteria))))
+    rows = grid.join(last, [request, "criterion"], "left")
+    given = F.when(F.col("s.priority").isin("must", "should", "could"), F.col("s.priority")).otherwise("should")
+    return rows.select(request, "criterion", F.coalesce("s.target", F.lit("unspecified")).alias("target"), given.alias("priority"))
+
+
 def candidate_queue(ranked: DataFrame, group: str, question: str, most: int = 3) -> DataFrame:
     """Candidates (group, question, rank, …) in turns: every question's first, then every second, up to ``most``."""
     order = Window.partitionBy(group).orderBy("rank", question)

@@ -91,6 +91,25 @@ def multi_query_fusion(lists: DataFrame, request: str, k: int = config.RRF_K) ->
     return fused.withColumn("rank", F.row_number().over(order))
 
 
+def reserve(selected: DataFrame, reserved: DataFrame) -> DataFrame:
+    """``selected`` (query_id, item_id, rank) with the ``reserved`` items (query_id, item_id, place) a query lacks.
+
+    They take the places of the last items that are not reserved and come after the rest, in the order of ``place``;
+    a selection that holds only reserved items does not grow."""
+    marked = selected.join(reserved.select("query_id", "item_id", F.lit(True).alias("held")), ["query_id", "item_id"], "left")
+    free = F.coalesce(F.col("held"), F.lit(False)) == F.lit(False)
+    missing = reserved.join(selected, ["query_id", "item_id"], "left_anti")
+    wanted = missing.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    tail = Window.partitionBy("query_id").orderBy(F.col("rank").desc())
+    later = F.sum(free.cast("int")).over(tail.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = marked.withColumn("free", free).withColumn("later", later).join(wanted, "query_id", "left")
+    kept = ranked.filter(~F.col("free") | (F.col("later") > F.coalesce("wanted", F.lit(0)))).select("query_id", "item_id", F.lit(0).alias("new"), F.col("rank").alias("at"))
+    room = ranked.groupBy("query_id").agg(F.sum(F.col("free").cast("int")).alias("room"))
+    added = missing.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).join(room, "query_id").filter("n <= room")
+    both = kept.unionByName(added.select("query_id", "item_id", F.lit(1).alias("new"), F.col("n").alias("at")))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("new", "at"))).drop("new", "at")
+
+
 def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame) -> DataFrame:
     """Mean over query tokens of the best dot product with a document's tokens; tables (id, pos, vector)."""
     q = query_tokens.select(F.col("id").alias("query_id"), F.col("pos").alias("q_pos"), F.col("vector").alias("q"))

@@ -26,7 +26,7 @@ def _table(name):
     return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_orders, _lines, _customers, _parts = map(_table, ("orders", "lineitem", "customer", "part"))
+_orders, _lines, _customers, _parts, _nations, _suppliers = map(_table, ("orders", "lineitem", "customer", "part", "nation", "supplier"))
 _events, _turns, _labels, _documents, _vectors = map(_table, ("events", "conversations", "labels", "documents", "embeddings"))
 
 
@@ -259,3 +259,51 @@ def r6(spark, d):
 SELECT request, item_id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, item_id)::INT AS rank FROM s""")
 def r7(spark, d):
     return V.multi_query_fusion(_reranked(spark, d).withColumn("request", F.floor(F.col("query_id") / 100)), "request")
+
+
+_REQUESTS = """, s AS (SELECT query_id // 100 AS request, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM rr GROUP BY ALL),
+ar AS (SELECT request, item_id, row_number() OVER (PARTITION BY request ORDER BY score DESC, item_id)::INT AS rank FROM s),
+bv AS (SELECT query_id, item_id FROM rr WHERE item_id % 7 = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)"""
+
+
+@query("r10_visual_reservation", f"""WITH {_RERANKED}{_REQUESTS} SELECT request, item_id FROM (SELECT query_id // 100 AS request, item_id, count(*) AS n FROM bv GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY request ORDER BY n DESC, item_id) <= 2""")
+def r10(spark, d):
+    """The best visual of each query; of these the two that most queries of a request name."""
+    best = V.top_k(_reranked(spark, d).filter("item_id % 7 = 3"), 1)
+    fused = V.multi_query_fusion(best.withColumn("request", F.floor(F.col("query_id") / 100)), "request")
+    return fused.filter("rank <= 2").select("request", "item_id")
+
+
+@query("r11_full_retrieval")
+def r11(spark, d):
+    """Gate, rerank, fusion over a request's queries, then eight diverse items that include the reserved visuals."""
+    fused = r7(spark, d).withColumnRenamed("request", "query_id")
+    vectors = _vectors(spark, d).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    selected = V.mmr(fused.join(vectors, "item_id").select("query_id", "item_id", "score", "vector"), config.PAPER_HITS)
+    places = fused.select("query_id", "item_id", F.col("rank").alias("place"))
+    reserved = r10(spark, d).withColumnRenamed("request", "query_id").join(places, ["query_id", "item_id"])
+    return V.reserve(selected, reserved).withColumnRenamed("query_id", "request")
+
+
+@query("t32_evidence_method", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id // 5 % 4 IN (0, 3) THEN 'gpu_experiment' ELSE 'measurement' END WHEN 1 THEN 'emulation' WHEN 2 THEN 'simulation' WHEN 3 THEN 'analysis' ELSE 'unknown' END AS method FROM events""")
+def t32(spark, d):
+    mode = _pick(F.col("event_id"), "measured", "emulated", "simulated", "analytical", "planned")
+    return _events(spark, d).select("event_id", f.evidence_method(mode, _pick(F.floor(F.col("event_id") / 5), "NVIDIA A100", "CPU server", None, "rtx 4090")).alias("method"))
+
+
+@query("t37_lexical_words", """SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_.+/-]{2,}'), lambda w: trim(lower(w), '._+/-')),
+lambda w: w NOT IN ('', 'the', 'and', 'with', 'from', 'that', 'this', 'result', 'results')))), ' ') AS words FROM documents""")
+def t37(spark, d):
+    return _documents(spark, d).select("doc_id", F.array_join(f.lexical_words(F.col("text")), " ").alias("words"))
+
+
+@query("d31_requirement_grid", """WITH g AS (SELECT n_nationkey, 'c' || i AS criterion FROM nation, range(10) r(i)),
+s AS (SELECT s_nationkey AS n_nationkey, 'c' || (s_suppkey % 10) AS criterion, arg_max(s_name, s_suppkey) AS target, arg_max((['must', 'urgent', 'could'])[s_suppkey % 3 + 1], s_suppkey) AS priority FROM supplier GROUP BY ALL)
+SELECT n_nationkey, criterion, coalesce(target, 'unspecified') AS target, CASE WHEN priority IN ('must', 'could') THEN priority ELSE 'should' END AS priority FROM g LEFT JOIN s USING (n_nationkey, criterion)""")
+def d31(spark, d):
+    supplied = _suppliers(spark, d).select(
+        F.col("s_nationkey").alias("n_nationkey"), F.concat(F.lit("c"), F.col("s_suppkey") % 10).alias("criterion"), F.col("s_name").alias("target"),
+        _pick(F.col("s_suppkey"), "must", "urgent", "could").alias("priority"), F.col("s_suppkey").alias("position"),
+    )
+    return O.requirement_grid(_nations(spark, d), "n_nationkey", [f"c{i}" for i in range(10)], supplied)

@@ -2,11 +2,14 @@
 
 import datetime
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from attestra.functions import records as f
 from attestra.operators import records as O
 from attestra.operators import retrieval as V
+from attestra.plans import record_plans
 
 
 def one(spark, column, *values):
@@ -64,3 +67,34 @@ def test_rerank_ignores_fused_order(spark):
     assert [(r.item_id, r.max_sim) for r in got] == [(2, 1.0), (3, 1.0), (1, 0.0)]
     fused = V.multi_query_fusion(V.rerank(gate, tokens).withColumn("request", F.lit(7)), "request").orderBy("rank").collect()
     assert [r.item_id for r in fused] == [2, 3, 1]
+
+
+def test_reserve(spark):
+    selected = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)] + [(2, i, i) for i in (1, 2)] + [(3, 9, 1)], "query_id int, item_id int, rank int")
+    reserved = spark.createDataFrame([(1, 3, 5), (1, 7, 9), (2, 1, 1), (2, 2, 2), (2, 5, 3)], "query_id int, item_id int, place int")
+    got = V.reserve(selected, reserved).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("x"))
+    assert {r.query_id: [x.item_id for x in r.x] for r in got.collect()} == {1: [1, 3, 7], 2: [1, 2], 3: [9]}
+
+
+def test_full_retrieval(spark):
+    """Greedy selection and reservation, written out, over the fused lists."""
+    d = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    cosine = lambda a, b: round(float(vectors[a] @ vectors[b] / np.linalg.norm(vectors[a]) / np.linalg.norm(vectors[b])), 6)
+    fused, held, got = {}, {}, {}
+    for r in record_plans.r7(spark, d).orderBy("rank").collect():
+        fused.setdefault(r.request, {})[r.item_id] = r.score
+    for r in record_plans.r10(spark, d).collect():
+        held.setdefault(r.request, set()).add(r.item_id)
+    for r in record_plans.r11(spark, d).orderBy("rank").collect():
+        got.setdefault(r.request, []).append(r.item_id)
+    assert held and got
+    for request, scores in fused.items():
+        chosen, top = [], max(scores.values())
+        while len(chosen) < min(8, len(scores)):
+            worth = lambda x: round(0.7 * scores[x] / top - 0.3 * max([cosine(x, c) for c in chosen], default=0.0), 9)  # noqa: B023, E731
+            chosen.append(min((x for x in scores if x not in chosen), key=lambda x: (-worth(x), -scores[x], x)))  # noqa: B023
+        lacking = [x for x in scores if x in held.get(request, set()) - set(chosen)]
+        free = [x for x in chosen if x not in held.get(request, set())]
+        out = set(free[len(free) - len(lacking):]) if lacking else set()
+        assert got[request] == [x for x in chosen if x not in out] + lacking
