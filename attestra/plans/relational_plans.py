@@ -159,7 +159,9 @@ def r5(spark, d):
     return V.max_sim(v, v.filter("id % 20 = 0"))
 
 
-@query("r18_retrieval_metrics")
+@query("r18_retrieval_metrics", f"""WITH {_DENSE}, golden AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0),
+j AS (SELECT g.query_id, h.rank FROM golden g LEFT JOIN dense h ON h.query_id = g.query_id AND h.item_id = g.item_id AND h.rank <= 10)
+SELECT query_id, round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(coalesce(sum(1 / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM j GROUP BY query_id""")
 def r18(spark, d):
     v = _vec(spark, d)
     golden = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "label").join(v.select(F.col("id").alias("item_id"), "label"), "label").select("query_id", "item_id")
