@@ -73,6 +73,15 @@ def requirement_grid(requests: DataFrame, request: str, criteria: list[str], sup
     return rows.select(request, "criterion", F.coalesce("s.target", F.lit("unspecified")).alias("target"), given.alias("priority"))
 
 
+def routed(reviews: DataFrame) -> DataFrame:
+    """``reviews`` (round, repair, blocked) with their ``route`` and next ``round``: a repair is made once, in round 0.
+
+    A repair asked for in a later round goes on as if it had not been."""
+    again = F.coalesce(F.col("repair"), F.lit(False)) & (F.col("round") == 0)
+    route = F.when(again, "repair").when(F.col("blocked"), "diagnostic").otherwise("report")
+    return reviews.withColumn("route", route).withColumn("round", F.when(again, F.lit(1)).otherwise(F.col("round")).cast("long"))
+
+
 def candidate_queue(ranked: DataFrame, group: str, question: str, most: int = 3) -> DataFrame:
     """Candidates (group, question, rank, …) in turns: every question's first, then every second, up to ``most``."""
     order = Window.partitionBy(group).orderBy("rank", question)

@@ -307,3 +307,24 @@ def d31(spark, d):
         _pick(F.col("s_suppkey"), "must", "urgent", "could").alias("priority"), F.col("s_suppkey").alias("position"),
     )
     return O.requirement_grid(_nations(spark, d), "n_nationkey", [f"c{i}" for i in range(10)], supplied)
+
+
+@query("f17_referenced_evidence", "SELECT p_partkey, p_brand FROM part WHERE p_size <= 25 AND p_partkey IN (SELECT unnest([l_partkey, l_partkey + l_suppkey]) FROM lineitem WHERE l_quantity >= 45)")
+def f17(spark, d):
+    """Parts of a size up to 25 stand in for paper evidence; lines of 45 pieces and more name two ids each."""
+    refs = _lines(spark, d).filter("l_quantity >= 45").select(F.explode(F.array("l_partkey", F.col("l_partkey") + F.col("l_suppkey"))).alias("p_partkey"))
+    return _parts(spark, d).filter("p_size <= 25").select("p_partkey", "p_brand").join(refs, "p_partkey", "left_semi")
+
+
+@query("w8_conditional_routing", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'repair' WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'diagnostic' ELSE 'report' END AS route,
+CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 1 ELSE o_orderkey % 2 END::BIGINT AS round FROM orders""")
+def w8(spark, d):
+    """Partly filled orders ask for a repair; the round is the key's last bit; the highest and lowest priority block a report."""
+    rows = _orders(spark, d).select("o_orderkey", (F.col("o_orderkey") % 2).alias("round"), (F.col("o_orderstatus") == "P").alias("repair"), F.col("o_orderpriority").isin("1-URGENT", "5-LOW").alias("blocked"))
+    return O.routed(rows).select("o_orderkey", "route", "round")
+
+
+@query("d32_claim_lines", "SELECT conv_id, turn, '[' || coalesce(role, 'unknown') || '] ' || regexp_replace(text, '\\s+', ' ', 'g') AS line FROM conversations WHERE text IS NOT NULL")
+def d32(spark, d):
+    text = F.regexp_replace("text", r"\s+", " ")
+    return _turns(spark, d).filter("text IS NOT NULL").select("conv_id", "turn", F.concat(F.lit("["), F.coalesce("role", F.lit("unknown")), F.lit("] "), text).alias("line"))
