@@ -11,7 +11,18 @@ from attestra.functions import records as f
 TEMPLATES = {
     "critical_inventory": ["{} abstract contributions conclusion headline results"],
     "mechanisms": ["{} method algorithm equation architecture mechanism"],
+    "experiments": [
+        "{} table results baseline model hardware latency throughput memory accuracy",
+        '{} "Table I" testing matrix performance speedup ranges batch sizes context lengths model platform host memory disk storage',
+        "{} ablation experimental setup evaluation protocol measured emulated simulated",
+        "{} context sweep range averaged result action-space ablation",
+        "{} prefill overhead TTFT setup preprocessing latency breakdown break-even generated tokens",
+    ],
     "scope": ["{} datasets workloads model scale context length applicability assumptions"],
+    "limitations": [
+        "{} limitations failure cases compute data constraints reproducibility future work",
+        "{} physical hardware end-to-end validation pending connector integration emulation simulation measured",
+    ],
     "visuals": ["{} Table Figure architecture performance results"],
 }
 

@@ -188,10 +188,12 @@ def a18(spark, d):
     return O.candidate_queue(ranked.join(homes, "o_custkey").drop("o_totalprice"), "c_nationkey", "o_custkey").select("c_nationkey", "o_custkey", "o_orderkey", "rank", "position")
 
 
-@query("d21_augmented_queries", """WITH t(topic, line) AS (VALUES ('critical_inventory', ' abstract contributions conclusion headline results'), ('mechanisms', ' method algorithm equation architecture mechanism'),
-('scope', ' datasets workloads model scale context length applicability assumptions'), ('visuals', ' Table Figure architecture performance results')),
+_TEMPLATES = ", ".join(f"('{topic}', {10 + i}, '{line[2:]}')" for topic, lines in O.TEMPLATES.items() for i, line in enumerate(lines))
+
+
+@query("d21_augmented_queries", f"""WITH t(topic, place, line) AS (VALUES {_TEMPLATES}),
 q AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations QUALIFY n <= 4),
-u AS (SELECT conv_id, topic, n, text FROM q, t UNION ALL SELECT DISTINCT conv_id, topic, 9, '"conversation ' || conv_id || '"' || line FROM q, t),
+u AS (SELECT conv_id, topic, n, text FROM q, t UNION ALL SELECT DISTINCT conv_id, topic, place, '"conversation ' || conv_id || '"' || line FROM q, t),
 f AS (SELECT conv_id, topic, text, min(n) AS n FROM u GROUP BY ALL)
 SELECT conv_id, topic, string_agg(text, chr(31) ORDER BY n) AS queries FROM f GROUP BY ALL""")
 def d21(spark, d):
