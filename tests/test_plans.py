@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from attestra.plans import evidence_plans, record_plans, relational_plans, text_plans
+from attestra.plans import evidence_plans, record_plans, relational_plans, relevance_plans, text_plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = text_plans.ORACLES | relational_plans.ORACLES | evidence_plans.ORACLES | record_plans.ORACLES
-RUN = text_plans.QUERIES | relational_plans.QUERIES | evidence_plans.QUERIES | record_plans.QUERIES
+SQL = text_plans.ORACLES | relational_plans.ORACLES | evidence_plans.ORACLES | record_plans.ORACLES | relevance_plans.ORACLES
+RUN = text_plans.QUERIES | relational_plans.QUERIES | evidence_plans.QUERIES | record_plans.QUERIES | relevance_plans.QUERIES
 
 
 @pytest.fixture(scope="module")
