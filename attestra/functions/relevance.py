@@ -194,3 +194,28 @@ def relevance_score(x: Column, name: Column, criteria: tuple[str, ...]) -> Colum
 def effect_count(x: Column) -> Column:
     """Words of an effect on resources."""
     return F.regexp_count(_text(x), F.lit("(?iU)" + EFFECT))
+
+
+# Marks of a text that speaks of the extraction and not of its subject.
+META_ALWAYS = ("required critical topic", "previous draft json")
+META_INVALID = ("invalid", "malformed", "unknown evidence", "유효하지", "형식 오류", "id 오류")
+META_PROCESS = ("extract", "generate", "response", "output", "수정 필요", "추출", "생성", "입력")
+# Marks of metrics that compare, a capacity that is called a baseline, and words of a possibility.
+COMPARATIVE = ("ratio", "speedup", "improvement", "reduction", "gap", "versus", "relative")
+CAPACITY_BASELINE = r"(?<![A-Za-z0-9])(\d+(?:\.\d+)?\s*(?:KB|MB|GB|TB|PB))(?:\s+[A-Za-z][A-Za-z0-9_-]*){0,3}\s+baseline\b"
+HEDGED = r"\b(could|may|might|potential(?:ly)?|expected|plans? to)\b|가능성"
+
+
+def about_extraction(x: Column) -> Column:
+    """Whether a text reports invalid evidence ids of an extraction, or names the draft's own parts."""
+    plain = F.trim(F.regexp_replace(F.lower(_text(x)), r"(?U)\s+", " "))
+    plain = F.translate(plain, "_-", "  ")
+    about_ids = F.regexp_like(plain, F.lit(r"(?U)\bevidence\s*id(?![a-z0-9])|근거\s*id"))
+    return contains_any(plain, META_ALWAYS) | (about_ids & contains_any(plain, META_INVALID) & contains_any(plain, META_PROCESS))
+
+
+def stated_baseline(metric: Column, workload: Column, baseline: Column) -> Column:
+    """``baseline``, or the capacity that the workload itself calls one where the metric does not compare."""
+    capacity = F.regexp_extract(_text(workload), "(?i)" + CAPACITY_BASELINE, 1)
+    replaced = ~contains_any(F.lower(_text(metric)), COMPARATIVE) & (capacity != "")
+    return F.when(replaced, F.concat(capacity, F.lit(" baseline"))).otherwise(baseline)
