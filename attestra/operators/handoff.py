@@ -115,3 +115,14 @@ def technology_status(judged: DataFrame, keys: list[str]) -> DataFrame:
     empty = F.coalesce(F.col("judgment").isin("unknown", "not_applicable"), F.lit(False))
     status = F.when(F.bool_and(empty), "unknown").otherwise("completed")
     return judged.groupBy(*keys).agg(status.alias("status"), F.bool_and(F.col("error").isNull()).alias("valid"))
+
+
+def audit_scopes(opinions: DataFrame, registry: DataFrame, request: str) -> DataFrame:
+    """(request, item_id, kind, ref): what the audit of each item may read.
+
+    ``opinions`` has (request, item_id, refs array<struct<kind, ref>>), ``registry`` the request's (request, kind, ref).  An
+    opinion gets what it names and the request has, once each; the limitations get all that the request has."""
+    named = opinions.select(request, "item_id", F.explode("refs").alias("r")).select(request, "item_id", "r.kind", "r.ref").distinct()
+    known = registry.select(request, "kind", "ref").distinct()
+    every = known.join(opinions.select(request).distinct(), request, "left_semi").select(request, F.lit("limitations").alias("item_id"), "kind", "ref")
+    return named.join(known, [request, "kind", "ref"], "left_semi").select(request, "item_id", "kind", "ref").unionByName(every)

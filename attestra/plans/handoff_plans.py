@@ -142,3 +142,16 @@ def v17(spark, d):
         F.slice(own, F.lit(1), (c("l_partkey") % 4).cast("int")).alias("evidence_ids"), F.when(c("l_discount") > 0.08, F.array(F.lit("z"))).otherwise(own).alias("allowed_ids"),
     )
     return H.technology_status(H.judged_criteria(rows), ["l_orderkey"])
+
+
+@query("d25_audit_scopes", """WITH k AS (SELECT DISTINCT l_orderkey, 'assessment' AS kind, l_linenumber::BIGINT AS ref FROM lineitem UNION SELECT l_orderkey, 'evidence', l_partkey FROM lineitem),
+n AS (SELECT DISTINCT l_orderkey, 'opinion_' || l_linenumber AS item_id, unnest(['assessment', 'assessment', 'evidence']) AS kind, unnest([l_linenumber, l_linenumber + 1, l_partkey]) AS ref FROM lineitem WHERE l_quantity > 10)
+SELECT * FROM n SEMI JOIN k USING (l_orderkey, kind, ref) UNION ALL SELECT l_orderkey, 'limitations', kind, ref FROM k WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)""")
+def d25(spark, d):
+    """Orders stand in for requests; a line of over ten pieces is an opinion on its own and the next line's assessment, and its part."""
+    lines = _lines(spark, d)
+    line, part = F.col("l_linenumber").cast("long"), F.col("l_partkey")
+    ref = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("ref"))
+    opinions = lines.filter("l_quantity > 10").select("l_orderkey", F.concat(F.lit("opinion_"), "l_linenumber").alias("item_id"), F.array(ref("assessment", line), ref("assessment", line + 1), ref("evidence", part)).alias("refs"))
+    registry = lines.select("l_orderkey", F.inline(F.array(ref("assessment", line), ref("evidence", part))))
+    return H.audit_scopes(opinions, registry, "l_orderkey")

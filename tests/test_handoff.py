@@ -76,3 +76,10 @@ def test_domain_contract(spark):
     judged = H.judged_criteria(df)
     assert [r.error for r in judged.collect()] == [None, "favorable_unmatched", "unfavorable_without_conflict", "evidence_required", "foreign_evidence", "failed_by_model", None, None, None]
     assert {r.t: (r.status, r.valid) for r in H.technology_status(judged, ["t"]).collect()} == {1: ("completed", False), 2: ("unknown", True), 3: ("completed", True)}
+
+
+def test_audit_scopes(spark):
+    opinions = spark.createDataFrame([(1, "o", [("a", 1), ("a", 1), ("a", 9), (None, 1)]), (2, "o", None)], "q int, item_id string, refs array<struct<kind:string,ref:int>>")
+    registry = spark.createDataFrame([(1, "a", 1), (1, "e", 2), (1, "e", 2), (2, "a", 9), (3, "a", 1)], "q int, kind string, ref int")
+    got = sorted((r.q, r.item_id, r.kind, r.ref) for r in H.audit_scopes(opinions, registry, "q").collect())
+    assert got == [(1, "limitations", "a", 1), (1, "limitations", "e", 2), (1, "o", "a", 1), (2, "limitations", "a", 9)]
