@@ -23,7 +23,7 @@ def test_sql(spark, name):
     compare(queries.QUERIES[name](spark, DIR).collect(), con.sql(queries.ORACLES[name]))
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op6_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op6_quality_rules", "op11_fill_in_middle"])
 def test_hard_rows(spark, hard, tmp_path, name):
     hard.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
