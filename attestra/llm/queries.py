@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, exact_dedup, fill_in_middle, jaccard_join, ppm, quality_rules, secret_scan, source_mix, suffix_dedup, token_counts, token_files, warc_zip
+from . import bpe_automaton, exact_dedup, fill_in_middle, jaccard_join, ppm, quality_rules, row_pattern, secret_scan, source_mix, suffix_dedup, token_counts, token_files, warc_zip
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_fill_in_middle": fill_in_middle.query,
     "op12_token_counts": token_counts.query,
+    "op13_row_pattern": row_pattern.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_warc_zip": warc_zip.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_row_pattern": row_pattern.ORACLE,
 }

@@ -18,7 +18,7 @@ def compare(got, rel):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "clicks"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     compare(queries.QUERIES[name](spark, DIR).collect(), con.sql(queries.ORACLES[name]))
 
