@@ -3,8 +3,8 @@
 Shingles are hashed into groups and a set becomes the point of its group counts; two sets share at most the sum over
 groups of the smaller count.  An R-tree over such points keeps, for each node, the largest count of every group and the
 least and greatest set size, so a whole subtree is passed over when even its summed minima with the query's counts stay
-below what a link needs.  Pairs that survive are verified on the sets themselves, made again from the texts with another
-hash function.
+below what a link needs.  Pairs that survive, whatever their sizes, are verified on the sets themselves, made again from
+the texts with another hash function; sets that agree under the first one are equal only if they agree under both.
 
 A single tree cannot be spread over a cluster, so sets are first dealt into blocks, each with a tree of its own.  A link
 needs overlap of at least 3/4 of either set, so two linked sets share one of their first n - ceil(3n/4) + 1 shingles in
@@ -40,7 +40,8 @@ FILTER_BITS = 1 << 26  # of the broadcast filter, whatever the input; more set b
 LEAF, FAN = 4, 8
 PAIRS = 1 << 16  # bounds that are computed at once
 WIDE = 64  # sets of a block that are all compared by size and room
-LONG = 512  # shingles of a set that is not sent to its blocks
+LONG = 512  # shingles of a set that is not sent to its groups: its pairs are verified one by one
+TILE, COLUMNS = 1024, 8192  # sets, and shingles, whose products are in memory at once
 NONE = np.iinfo(np.int64).min
 
 
@@ -190,34 +191,52 @@ def _texts(batch) -> list[bytes]:
     return batch.column(1).cast(pa.binary()).to_pylist()
 
 
-PROFILE = "id long, n long, set_id long, counts binary, bands array<long>, common long, times long"
+PROFILE = "id long, n long, set_id long, check long, counts binary, bands array<long>, common long, times long"
 
-NAMES = ["id", "n", "set_id", "counts", "bands", "common", "times"]
+NAMES = ["id", "n", "set_id", "check", "counts", "bands", "common", "times"]
+
+
+class Keys:
+    """Names of sets: 64 bits of the first hash function, and of the second as well where ``shared`` says that two sets have
+    the former in common."""
+
+    def __init__(self, shared: list[int] = ()):
+        self.shared = frozenset(shared)
+
+    def of(self, s: np.ndarray, other) -> int:
+        """``other``: gives the set under the second hash function, when it is needed."""
+        key = set_key(s)
+        if not self.shared:
+            return key
+        signed = int(_signed(key))
+        return int(np.int64(signed ^ int(_signed(set_key(other())))).view(np.uint64)) if signed in self.shared else key
 
 
 def _profile(share: float, block_docs: int):
     """A row for each document, and rows (common, times) for the shingles that a block of documents repeats most."""
 
-    def out(ids, sets):
+    def out(ids, sets, others):
         filled = [s if len(s) else None for s in sets]
+        checks = [int(_signed(set_key(s))) if len(s) else None for s in others]
         keys = [None if s is None else int(_signed(set_key(s))) for s in filled]
         counts = [None if s is None else count_vector(s) for s in filled]
         bands = [[] if s is None else _signed(np.array(_bands(s), np.uint64)).tolist() for s in filled]
         empty = pa.nulls(len(ids), pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.binary()), pa.array(bands, pa.list_(pa.int64())), empty, empty], names=NAMES)
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(counts, pa.binary()), pa.array(bands, pa.list_(pa.int64())), empty, empty], names=NAMES)
 
     def frequent(held, docs):
         values, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= max(4, share * docs)
         k = int(often.sum())
         no = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([no, no, no, pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(values[often])), pa.array(times[often], pa.int64())], names=NAMES)
+        return pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(values[often])), pa.array(times[often], pa.int64())], names=NAMES)
 
     def run(batches):
         held, docs, size = [], 0, 0
         for batch in common.slices(batches):
-            sets = shingle_sets(_texts(batch))
-            yield out(batch.column(0), sets)
+            texts = _texts(batch)
+            sets = shingle_sets(texts)
+            yield out(batch.column(0), sets, shingle_sets(texts, family=1))
             held += sets
             docs, size = docs + len(sets), size + sum(map(len, sets))
             if docs >= block_docs or size >= 3_000_000:
@@ -229,7 +248,7 @@ def _profile(share: float, block_docs: int):
     return run
 
 
-def _prefixes(common_hashes: bytes):
+def _prefixes(common_hashes: bytes, names: Keys):
     """(shingle, set, n, room) of every document's first n - ceil(3n/4) + 1 shingles; common ones last, rarest first.
 
     ``room``: the set's shingles from this one on.  Two sets whose first common shingle this is share no more."""
@@ -252,10 +271,11 @@ def _prefixes(common_hashes: bytes):
         seen: set[int] = set()
         for batch in common.slices(batches):
             sigs, keys, sizes, rooms = [], [], [], []
-            for s in shingle_sets(_texts(batch)):
+            texts = _texts(batch)
+            for text, s in zip(texts, shingle_sets(texts), strict=True):
                 if not len(s):
                     continue
-                key = set_key(s)
+                key = names.of(s, lambda text=text: shingle_sets([text], family=1)[0])
                 if key in seen:  # an equal set of this partition has been dealt
                     continue
                 if len(seen) < 500_000:
@@ -378,10 +398,34 @@ def _candidates(batches):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
 
 
+def _places(bodies: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(place in ``values``, sorted, and set) of each shingle that is there; the number of sets."""
+    where = np.repeat(np.arange(len(bodies)), np.fromiter(map(len, bodies), np.int64, len(bodies)))
+    flat = np.concatenate(bodies)
+    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    there = values[at] == flat
+    at, where = at[there], where[there]
+    order = np.argsort(at, kind="stable")
+    return at[order], where[order], len(bodies)
+
+
+def _overlaps(rows, columns, width: int) -> np.ndarray:
+    """How many shingles each set of ``rows`` shares with each of ``columns``: products of 0/1 matrices."""
+    both = np.zeros((rows[2], columns[2]), np.float32)
+    for low in range(0, width, COLUMNS):
+        grids = []
+        for at, where, n in (rows, columns):
+            a, b = np.searchsorted(at, [low, low + COLUMNS])
+            grid = np.zeros((n, min(COLUMNS, width - low)), np.float32)
+            grid[where[a:b], at[a:b] - low] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    return both
+
+
 def _forest_links(batches):
     """Of groups, rows (group, set_id, component, body) sorted by group: a spanning forest of each group's links between
-    components, compared on whole sets.  Overlaps are the products of 0/1 rows over the shingles that two sets or more of
-    the group have."""
+    components, compared on whole sets, a tile of them at a time."""
     for table in _whole_blocks(batches, 2_000):
         sig, keys, comps = (table.column(i).to_numpy().astype(np.int64) for i in range(3))
         bodies = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
@@ -389,35 +433,32 @@ def _forest_links(batches):
         links: set = set()
         for at, end in zip(first.tolist(), np.r_[first[1:], len(sig)].tolist(), strict=True):
             sizes = np.fromiter(map(len, bodies[at:end]), np.int64, end - at)
-            values, where, times = np.unique(np.concatenate(bodies[at:end]), return_inverse=True, return_counts=True)
-            many = times > 1
-            column = np.cumsum(many) - 1
-            row = np.repeat(np.arange(end - at), sizes)[many[where]]
-            grid = np.zeros((end - at, int(many.sum())), np.float32)
-            grid[row, column[where[many[where]]]] = 1
             root = np.unique(comps[at:end], return_inverse=True)[1]
-            for a in range(0, end - at, 512):  # rows against all, a slice at a time
-                both = grid[a : a + 512] @ grid.T
-                i, j = np.nonzero(linked(both, sizes[a : a + 512, None], sizes[None, :]))
-                i += a
-                fresh = (i < j) & (root[i] != root[j])
-                for x, y in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
-                    if root[x] != root[y]:
-                        root[root == root[y]] = root[x]
-                        links.add((int(keys[at + x]), int(keys[at + y])))
+            for a in range(0, end - at, TILE):
+                values = np.unique(np.concatenate(bodies[at + a : min(at + a + TILE, end)]))
+                rows = _places(bodies[at + a : min(at + a + TILE, end)], values)
+                for b in range(a, end - at, TILE):
+                    columns = rows if a == b else _places(bodies[at + b : min(at + b + TILE, end)], values)
+                    both = _overlaps(rows, columns, len(values))
+                    i, j = np.nonzero(linked(both, sizes[a : a + TILE, None], sizes[None, b : b + TILE]))
+                    i, j = i + a, j + b
+                    fresh = (i < j) & (root[i] != root[j])
+                    for x, y in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
+                        if root[x] != root[y]:
+                            root[root == root[y]] = root[x]
+                            links.add((int(keys[at + x]), int(keys[at + y])))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in range(2)], names=["u", "v"])
 
 
-def _sets_of(bits: bytes, family: int):
-    """(set_id, set in a hash family) of the rows whose id passes the filter; no other text is split."""
+def _sets_of(bits: bytes, names: Keys):
+    """(set_id, set under the second hash function) of the rows whose id passes the filter; no other text is split."""
     mask = np.frombuffer(bits, np.uint8)
 
     def run(batches):
         for batch in common.slices(batches):
             bit = _bit(batch.column(0).fill_null(NONE).to_numpy(), len(mask) * 8)
             texts = _texts(batch.filter(pa.array((mask[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))))
-            sets = shingle_sets(texts)
-            rows = [(set_key(s), x) for s, x in zip(sets, shingle_sets(texts, family=family) if family else sets, strict=True) if len(s)]
+            rows = [(names.of(s, lambda x=x: x), x) for s, x in zip(shingle_sets(texts), shingle_sets(texts, family=1), strict=True) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(_signed([r[0] for r in rows])), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["set_id", "body"])
 
     return run
@@ -495,15 +536,27 @@ class _Join:
         self.owners = common.owners_for(self.spark)
         # a third of all rows may be one set: minima are combined before the shuffle
         self.profile = common.written(docs.mapInArrow(common.tidy(_profile(COMMON_SHARE, 8192)), PROFILE), "profiles")
-        rows = self.profile.filter("set_id is not null")
-        self.nodes = common.written(rows.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("counts").alias("counts"), F.first("bands").alias("bands")), "sets")
+        self.names = Keys()
+        self.nodes = self._nodes()
+        # of n sets, some n * n / 2**65 share 64 bits with another; they are named anew
+        met = [r.set_id for r in self.nodes.filter("check != other").select("set_id").collect()]
+        if met:
+            self.names = Keys(met)
+            anew = F.when(F.col("set_id").isin(met), F.col("set_id").bitwiseXOR(F.col("check"))).otherwise(F.col("set_id"))
+            self.profile = self.profile.withColumn("set_id", anew)
+            self.nodes = self._nodes()
         self.links = self.spark.createDataFrame([], "u long, v long")
         self.comps = None
 
-    def _sets(self, keys: DataFrame, family: int = 1) -> DataFrame:
+    def _nodes(self) -> DataFrame:
+        sets = self.profile.filter("set_id is not null").groupBy("set_id")
+        sets = sets.agg(F.min("id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("counts").alias("counts"), F.first("bands").alias("bands"), F.min("check").alias("check"), F.max("check").alias("other"))
+        return common.written(sets, "sets")
+
+    def _sets(self, keys: DataFrame) -> DataFrame:
         """(set_id, body) of ``keys`` and a few others, from the texts."""
         reps = self.nodes.join(keys, "set_id", "left_semi").select("rep")
-        return self.docs.mapInArrow(common.tidy(_sets_of(filter_bits(reps), family)), "set_id long, body binary")
+        return self.docs.mapInArrow(common.tidy(_sets_of(filter_bits(reps), self.names)), "set_id long, body binary")
 
     def verified(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are links.  A set is the ``a`` of a few pairs and may be the ``b``, the hub, of very many;
@@ -547,7 +600,7 @@ class _Join:
         last = [r.common for r in often.orderBy("times", "common").collect()]
         body = np.array(last, np.int64).tobytes()
         rows = "sig long, set_id long, n int, room int"
-        dealt = self.docs.mapInArrow(common.tidy(_prefixes(body)), rows)
+        dealt = self.docs.mapInArrow(common.tidy(_prefixes(body, self.names)), rows)
         shared = dealt.repartition(self.owners, "sig").sortWithinPartitions("sig", "n", "set_id").mapInArrow(common.tidy(_shared), rows)
         self.shared = common.written(shared, "blocks")
         del dealt, shared
@@ -567,7 +620,7 @@ class _Join:
         if not pairs.isEmpty():
             self.verified(pairs)
         short = found.filter("b is null").select("group", F.col("a").alias("set_id")).distinct()
-        sets = self._sets(short.select("set_id").distinct(), 0).dropDuplicates(["set_id"])
+        sets = self._sets(short.select("set_id").distinct()).dropDuplicates(["set_id"])
         short = short.join(self.placed().select("set_id", "component"), "set_id").join(sets, "set_id").select("group", "set_id", "component", "body")
         links = short.repartition(self.owners, "group").sortWithinPartitions("group").mapInArrow(common.tidy(_forest_links), "u long, v long")
         self.links = self.links.unionByName(common.written(links.distinct(), "links"))

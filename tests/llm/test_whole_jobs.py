@@ -7,10 +7,12 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attestra.llm import bpe_automaton, common, jaccard_join, source_mix, token_files
+from attestra.llm.shingles import shingle_sets
 
 
 # ------------------------------------------------------------------ source mix
@@ -101,3 +103,35 @@ def test_words_that_meet_in_a_linear_hash(spark):
     crc = {r.doc_id: r.ids_crc32 for r in token_files.read_digests(files).collect()}
     assert crc == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
     assert [r.component_id for r in jaccard_join.similar_groups(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_sets_that_agree_under_one_hash_function(spark):
+    """Two words that the first function takes for one; links and equal sets are confirmed under the second."""
+    one, two = "eszycidpabcdefgh", "vbacdjny>+%g56u#"
+    assert shingle_sets([f"{one} a b c d".encode()])[0].tolist() == shingle_sets([f"{two} a b c d".encode()])[0].tolist()
+    words = [f"w{i}" for i in range(40)]
+    mixed = lambda w: " ".join(x if i % 4 else w for i, x in enumerate(words))  # noqa: E731  all shingles have the word
+    texts = [f"{one} alpha beta gamma delta", f"{two} alpha beta gamma delta", f"{one} alpha beta gamma delta", mixed(one), mixed(two), mixed(two) + " tail", mixed(one).upper()]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 5, 7: 4}
+
+
+def test_tiles_and_column_slices_give_all_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 7)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 11)
+    r = np.random.default_rng(4)
+    base = [np.unique(r.integers(0, 10**6, 40).astype(np.uint64)) for _ in range(5)]
+    sets = [np.unique(np.concatenate([b[r.random(len(b)) < 0.93], r.integers(0, 10**6, 2).astype(np.uint64)])) for b in base for _ in range(8)]
+    table = pa.table({"group": [5] * len(sets), "set_id": range(len(sets)), "component": range(len(sets)), "body": [s.tobytes() for s in sets]})
+    links = [p for b in jaccard_join._forest_links(iter(table.to_batches())) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for x, y in pairs:
+            a, b = root[x], root[y]
+            root = [b if k == a else k for k in root]
+        return [root.index(k) for k in root]
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert every and roots(links) == roots(every) and len(links) <= len(sets)
