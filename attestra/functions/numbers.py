@@ -19,15 +19,20 @@ def normalized_numbers(x: Column) -> Column:
     """
     x = F.coalesce(x, F.lit(""))
     group = lambda k: F.regexp_extract_all(x, F.lit(IN_PLACE), F.lit(k))
-    found = F.arrays_zip(group(1).alias("open"), group(2).alias("raw"), group(3).alias("shut"))
+    # few texts have braces; the arrays of the others are padded with nulls
+    brace = lambda k: F.when(x.contains("{"), group(k)).otherwise(F.array().cast("array<string>"))
+    found = F.arrays_zip(brace(1).alias("open"), group(2).alias("raw"), brace(3).alias("shut"))
 
     def tokens(m):
         body = F.regexp_replace(m["raw"], "[×xX% ]+$", "")
         sign = F.substring(m["raw"], F.length(body) + 1, F.length(m["raw"]))
-        listed = body.contains(",") & (((m["open"] != "") & (m["shut"] != "")) | ~body.rlike(GROUPED))
+        listed = body.contains(",") & (F.coalesce((m["open"] != "") & (m["shut"] != ""), F.lit(False)) | ~body.rlike(GROUPED))
         # a sign after a list goes with its last part
         return F.when(listed, F.split(F.concat(body, sign), ",")).otherwise(F.array(F.concat(body, sign)))
 
-    clean = F.transform(F.flatten(F.transform(found, tokens)), lambda t: F.replace(F.lower(F.regexp_replace(t, r"(?U)[\s,]", "")), F.lit("x"), F.lit("×")))
-    words = F.array_compact(F.array(*[F.when(F.lower(x).rlike(rf"(?U)\b{w}\b"), n) for w, n in NUMBER_WORDS.items()]))
+    clean = F.transform(F.flatten(F.transform(found, tokens)), lambda t: F.replace(F.lower(F.regexp_replace(t, r"[\s,  -  　]", "")), F.lit("x"), F.lit("×")))
+    spelt = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(rf"(?U)\b({'|'.join(NUMBER_WORDS)})\b"), F.lit(1)))
+    values = F.create_map(*[F.lit(v) for pair in NUMBER_WORDS.items() for v in pair])
+    known = F.array(*map(F.lit, NUMBER_WORDS))
+    words = F.transform(F.array_intersect(known, spelt), lambda w: F.element_at(values, w))
     return F.array_distinct(F.concat(clean, words))
