@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.quantities import exact
+
 # Date formats after the ISO one, in the order in which they are tried.
 DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy.M.d", "yyyy년 M월 d일")
 # Factors of scale words, and names of currencies.
@@ -52,19 +54,25 @@ def normalized_date(x: Column) -> Column:
 
 
 def scaled_quantities(x: Column) -> Column:
-    """Distinct numbers of a text times their scale word, ascending, as decimals.
+    """Distinct numbers of a text times their scale word, ascending, as digits and a power of ten: 1.5 million is 15e5.
 
-    A number follows no letter or digit; commas are dropped.  Numbers of over 18 digits before the point have no value
-    here and are left out.  A text without numbers, or null, gives an empty array."""
+    A number follows no letter or digit; commas are dropped.  Numbers of any length are exact.  A text without numbers, or
+    null, gives an empty array."""
     number, word = r"[0-9][0-9,]*(?:\.[0-9]+)?", "|".join(sorted(SCALES, key=len, reverse=True))
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(f"(?i)(?:^|[^A-Za-z0-9])({number}(?:\\s*(?:{word}))?)"), F.lit(1))
 
     def value(token):
         digits = F.regexp_replace(F.regexp_extract(token, f"^({number})", 1), ",", "")
-        factor = F.coalesce(lookup(SCALES, F.lower(F.regexp_replace(token, f"^{number}\\s*", ""))), F.lit(1))
-        return (digits.try_cast("decimal(24,6)") * factor.cast("decimal(13,0)")).cast("decimal(38,6)")
+        power = F.coalesce(lookup({w: len(str(f)) - 1 for w, f in SCALES.items()}, F.lower(F.regexp_replace(token, f"^{number}\\s*", ""))), F.lit(0))
+        return exact(digits, power)
+
+    def ordered(v):
+        """The place of the first digit, then the digits."""
+        digits = F.substring_index(v, "e", 1)
+        return F.struct(F.when(v != "0", F.length(digits) + F.substring_index(v, "e", -1).cast("int")).alias("place"), digits.alias("digits"), v.alias("v"))
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, value), lambda v: v.isNotNull())))
+    distinct = F.array_distinct(F.transform(found, value))
+    return F.transform(F.array_sort(F.transform(distinct, ordered)), lambda x: x["v"])
 
 
 def currency(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestra.functions.text import normalize_text
+
 # Patterns of market sources, matched in any case.
 MARKET_PAPER = "market|economic|adoption|pricing|serving cost"
 ACRONYM = r"\brdkv\b|rdk[^\n]video"
@@ -118,10 +120,11 @@ def _unquoted(x: Column) -> Column:
 
 
 def same_paper(a: Column, b: Column) -> Column:
-    """Two URLs of one paper: a shared arXiv number, or equal host and path."""
+    """Two URLs of one paper: a shared arXiv number, or equal host, with port and user, and path."""
     ids = [F.regexp_extract_all(_unquoted(u), F.lit(ARXIV_ID), F.lit(0)) for u in (a, b)]
     place = [F.rtrim(F.regexp_extract(_unquoted(u), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/")) for u in (a, b)]
-    whole = (host(a) != "") & (F.regexp_extract(_text(a), r"://[^/?#]*(/)", 1) != "") & (host(a) == host(b)) & (place[0] == place[1])
+    site = [F.lower(F.regexp_extract(F.trim(_text(u)), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)) for u in (a, b)]
+    whole = (site[0] != "") & (F.regexp_extract(_text(a), r"://[^/?#]*(/)", 1) != "") & (site[0] == site[1]) & (place[0] == place[1])
     return F.arrays_overlap(*ids) | whole
 
 
@@ -174,9 +177,9 @@ def title_line(x: Column) -> Column:
 
 
 def abstract_part(x: Column) -> Column:
-    """What stands between the word abstract and the introduction, stripped, 8,000 characters at most; null if nothing."""
+    """What stands between the word abstract and the introduction, normalised, 8,000 characters at most; null if nothing."""
     part = F.regexp_extract(_text(x), r"(?is)\babstract\b\s*[:—-]?\s*(.+?)(?=\n\s*(?:1\.?\s+)?introduction\b)", 1)
-    part = F.regexp_replace(part, r"^\s+|\s+$", "")
+    part = normalize_text(part)
     return F.when(part != "", F.substring(part, 1, 8000))
 
 

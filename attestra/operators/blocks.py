@@ -40,7 +40,7 @@ def coalesce_blocks(elements: DataFrame, doc: str, at: str, max_tokens: int, blo
         F.when(F.count("bbox") == F.count(F.lit(1)), box).alias("box"),
     )
     many = F.col("elements") > 1
-    joined = F.when(many, T.normalize_text(F.array_join(F.col("parts.text"), "\n\n"))).otherwise(F.col("parts")[0]["text"])
+    joined = F.when(many, T.normalize_text(F.array_join(F.col("parts.text"), "\n\n"))).otherwise(F.get("parts", F.lit(0))["text"])
     out = out.withColumn("text", joined)
     group_id = T.stable_id(F.coalesce(F.col(doc).cast("string"), F.lit("")), F.coalesce(F.col("o.page").cast("string"), F.lit("")), F.lit("text-group"), F.col("first").cast("string"), F.col("text"), length=12)
     return out.select(
@@ -72,7 +72,7 @@ def table_row_groups(rows: DataFrame, table: str, at: str, line: Column, header:
 def markdown_rows(df: DataFrame, table: str, text: Column) -> DataFrame:
     """(table, at, line, header) of texts that are Markdown tables; texts without a separator in the second line have no rows."""
     lines = F.split(text, "\r\n|\n|\r")
-    rows = df.select(table, lines.alias("_l")).filter((F.size("_l") >= 3) & F.col("_l")[1].rlike(r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+"))
+    rows = df.select(table, lines.alias("_l")).filter((F.size("_l") >= 3) & F.get("_l", F.lit(1)).rlike(r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+"))
     rows = rows.withColumn("header", F.concat_ws("\n", F.slice("_l", 1, 2)))
     return rows.select(table, "header", F.posexplode(F.slice("_l", F.lit(3), F.size("_l") - 2)).alias("at", "line")).withColumn("at", (F.col("at") + 1).cast("long"))
 

@@ -98,7 +98,7 @@ def evaluation_modes(observations: DataFrame, evidence: DataFrame) -> DataFrame:
     named = F.array_compact(F.array(*[F.when(F.col("snippet").rlike(p), m) for m, p in MODES.items()]))
     passages = evidence.select("evidence_id", "document_id", "page", lexical_words(F.col("snippet")).alias("words"), named.alias("modes")).filter(F.size("modes") == 1)
     here, near = _affinity(F.col("page"), F.col("pages"))
-    rows = papers.join(passages, "document_id").select("observation_id", "evidence_id", F.col("modes")[0].alias("mode"), F.size(F.array_intersect("said", "words")).alias("shared"), here, near)
+    rows = papers.join(passages, "document_id").select("observation_id", "evidence_id", F.get("modes", F.lit(0)).alias("mode"), F.size(F.array_intersect("said", "words")).alias("shared"), here, near)
     level = rows.filter(F.col("shared") >= LEAST_MODE_WORDS).groupBy("observation_id", "shared").agg(F.min("mode").alias("mode"), F.max("mode").alias("other"), F.min(F.struct(-F.col("here"), -F.col("near"), F.col("evidence_id").alias("id"))).alias("best"))
     top = level.groupBy("observation_id").agg(F.max_by(F.struct("mode", "other", "best"), "shared").alias("top")).filter("top.mode = top.other")
     return top.select("observation_id", F.col("top.mode").alias("mode"), F.col("top.best.id").alias("evidence_id"))

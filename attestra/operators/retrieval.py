@@ -6,12 +6,15 @@ picks the join.  Ties are always broken by id, after scores are rounded.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra import config
 
 MOST_BROADCAST = 10_000
+ITEM_BLOCK, QUERY_BLOCK = 4096, 512  # vectors that one matrix product takes from either side
 
 
 def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -46,6 +49,74 @@ def dense_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select("query_id", "item_id", F.round(F.when(norms == 0, 0.0).otherwise(dot(F.col("item_id_v"), F.col("query_id_v")) / norms), 6).alias("score"))
 
 
+def _blocks(size: int):
+    """(ids, body): rows (id, vector) packed into matrices of ``size`` unit vectors; those of norm 0 stay as they are."""
+
+    def packed(ids, rows):
+        body = np.stack(rows)
+        norm = np.sqrt((body * body).sum(1, keepdims=True))
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([(body / np.where(norm == 0, 1, norm)).tobytes()], pa.binary())], names=["ids", "body"])
+
+    def run(batches):
+        ids: list[int] = []
+        rows: list[np.ndarray] = []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            rows += [np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]
+            while len(ids) >= size:
+                yield packed(ids[:size], rows[:size])
+                ids, rows = ids[size:], rows[size:]
+        if ids:
+            yield packed(ids, rows)
+
+    return run
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by id; ``ids`` ascend."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above = np.flatnonzero(scores > least)
+    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+
+
+def _products(k: int):
+    """Partial top k of each query of a block in each block of items."""
+
+    def run(batches):
+        for batch in batches:
+            for item_ids, items, query_ids, queries in zip(*(batch.column(c).to_pylist() for c in ("ids", "body", "query_ids", "queries")), strict=True):
+                x, q = (np.frombuffer(b, np.float64).reshape(len(n), -1) for n, b in ((item_ids, items), (query_ids, queries)))
+                order = np.argsort(np.array(item_ids), kind="stable")
+                names = np.array(item_ids)[order]
+                scores = np.round(q @ x[order].T, 6)
+                picks = [best_of(names, row, k) for row in scores]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.array(query_ids), [len(p) for p in picks])), pa.array(np.concatenate([names[p] for p in picks])), pa.array(np.concatenate([row[p] for row, p in zip(scores, picks, strict=True)])),
+                ], names=["query_id", "item_id", "score"])
+
+    return run
+
+
+def dense_top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items of greatest cosine of each query, exact, from (id, vector) tables.
+
+    Both sides are packed into blocks of vectors; every block of items meets every block of queries once, as a matrix
+    product that leaves k rows a query, so what is shuffled is blocks and k rows a query and block, never the pairs.  Scores
+    are rounded to six digits, ties go by id, a vector of norm 0 scores 0.  Vectors have one length; null ones are left out.
+    """
+    known = lambda df: df.filter(F.col("vector").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "vector")
+    packed = "ids array<long>, body binary"
+    item_blocks = known(items).mapInArrow(_blocks(ITEM_BLOCK), packed)
+    query_blocks = known(queries).repartition(max(1, -(-queries.count() // QUERY_BLOCK))).mapInArrow(_blocks(QUERY_BLOCK), packed)
+    query_blocks = query_blocks.select(F.col("ids").alias("query_ids"), F.col("body").alias("queries"), F.spark_partition_id().alias("at"))
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    met = item_blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(query_blocks, "at")
+    best = met.select("ids", "body", "query_ids", "queries").mapInArrow(_products(k), "query_id long, item_id long, score double")
+    return top_k(best, k)
+
+
 def sparse_scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, item_id, score) from postings (item_id, term, weight) and query terms (query_id, term, weight)."""
     q = terms.select("query_id", "term", F.col("weight").alias("q_weight"))
@@ -60,15 +131,25 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int = config.RRF_K) -> Dat
     return rows.groupBy("query_id", "item_id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
 
 
+def rank_visuals(candidates: DataFrame, score: Column) -> DataFrame:
+    """``candidates`` (query_id, item_id, score, ...) with ``visual_rank``: the place of each among its query's visuals, null for
+    those whose ``visual_score`` is null.  Equal ones go by their relevance, then by id."""
+    rows = candidates.withColumn("_v", score)
+    order = Window.partitionBy("query_id", F.col("_v").isNull()).orderBy(F.col("_v").desc(), F.col("score").desc(), F.col("item_id").asc())
+    return rows.withColumn("visual_rank", F.when(F.col("_v").isNotNull(), F.row_number().over(order))).drop("_v")
+
+
 def candidate_gate(fused: DataFrame, most: int = config.FUSION_CANDIDATES) -> DataFrame:
-    """The ``most`` best fused items of each query (query_id, item_id, score, visual) with ``slot``.
+    """The ``most`` best fused items of each query (query_id, item_id, score, visual_rank) with ``slot``.
 
-    Where no visual is among them, the best visual beyond takes the last slot, so that the gate keeps its size."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
-    ranked = fused.withColumn("rank", F.row_number().over(order))
-    first = F.min(F.when(F.col("visual"), F.col("rank"))).over(Window.partitionBy("query_id"))
-    kept = (F.col("rank") < most) | ((F.col("rank") == most) & F.coalesce(F.col("first") <= most, F.lit(True))) | ((F.col("rank") > most) & (F.col("rank") == F.col("first")))
-    return ranked.withColumn("first", first).filter(kept).withColumn("slot", F.least("rank", F.lit(most))).drop("first", "rank")
+    The first visual takes the last slot if it is beyond, whatever other visuals are inside, so that the gate keeps its
+    size; ``visual_rank`` is null for items that the question does not call for."""
+    query = Window.partitionBy("query_id")
+    ranked = fused.withColumn("rank", F.row_number().over(query.orderBy(F.col("score").desc(), F.col("item_id").asc())))
+    best = F.min(F.when(F.col("visual_rank") == 1, F.col("rank"))).over(query)
+    beyond = F.coalesce(F.col("best") > most, F.lit(False))
+    kept = (F.col("rank") < most) | ((F.col("rank") == most) & ~beyond) | (beyond & (F.col("rank") == F.col("best")))
+    return ranked.withColumn("best", best).filter(kept).withColumn("slot", F.least("rank", F.lit(most))).drop("best", "rank", "visual_rank")
 
 
 def rerank(gate: DataFrame, tokens: DataFrame, k: int = config.RRF_K) -> DataFrame:
@@ -91,6 +172,18 @@ def multi_query_fusion(lists: DataFrame, request: str, k: int = config.RRF_K) ->
     return fused.withColumn("rank", F.row_number().over(order))
 
 
+def reserved_visuals(ranked: DataFrame, request: str, most: int = 2) -> DataFrame:
+    """(request, item_id, place): the first visual of each query, ``most`` of a request at most.
+
+    ``ranked``: request, query_id, item_id, visual_rank, explicit (whether the query names a table or figure).  Visuals of explicit
+    queries come first, in the order of the queries; the others by how many queries they are first for, then by id."""
+    first = ranked.filter(F.col("visual_rank") == 1)
+    told = F.min(F.when(F.coalesce("explicit", F.lit(False)), F.col("query_id")))
+    each = first.groupBy(request, "item_id").agg(told.alias("told"), F.count(F.lit(1)).alias("times"))
+    order = Window.partitionBy(request).orderBy(F.col("told").asc_nulls_last(), F.col("times").desc(), F.col("item_id").asc())
+    return each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select(request, "item_id", "place")
+
+
 def reserve(selected: DataFrame, reserved: DataFrame) -> DataFrame:
     """``selected`` (query_id, item_id, rank) with the ``reserved`` items (query_id, item_id, place) a query lacks.
 

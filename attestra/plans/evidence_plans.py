@@ -265,16 +265,9 @@ def d17(spark, d):
     return P._documents(spark, d).groupBy("lang", "source").agg(F.count_distinct(F.sha2("text", 256)).alias("materials"))
 
 
-@query("d23_dossier_assembly", "SELECT o_custkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY o_custkey")
+@query("d23_dossier_assembly", "SELECT o_custkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def d23(spark, d):
-    l = P._lines(spark, d).filter("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("p"))  # noqa: E741
-    rows = P._orders(spark, d).select("o_orderkey", "o_custkey").join(l, "o_orderkey").groupBy("o_custkey").agg(F.array_sort(F.collect_set("p")).alias("x"))
-    return rows.select("o_custkey", F.array_join("x", ",").alias("parts"))
-
-
-@query("d23_whole_dossier", "SELECT o_custkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
-def d23_whole(spark, d):
-    """Every part that a customer's lines refer to; ``d23_dossier_assembly`` has the large lines only."""
+    """Every part that a customer's lines refer to."""
     l = P._lines(spark, d).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("p"))  # noqa: E741
     rows = P._orders(spark, d).select("o_orderkey", "o_custkey").join(l, "o_orderkey").groupBy("o_custkey").agg(F.array_sort(F.collect_set("p")).alias("x"))
     return rows.select("o_custkey", F.array_join("x", ",").alias("parts"))

@@ -8,6 +8,7 @@ from attestra import config
 from attestra.functions import records as f
 from attestra.operators import records as O
 from attestra.operators import retrieval as V
+from attestra.tables import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -133,12 +134,14 @@ def t10(spark, d):
 
 
 @query("t14_scaled_quantities", r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|[^A-Za-z0-9])([0-9][0-9,]*(?:\.[0-9]+)?(?:\s*(?:thousand|million|billion|trillion|백만|천|만|억|조))?)', 1)) AS t FROM documents),
-v AS (SELECT DISTINCT doc_id, (try_cast(replace(regexp_extract(t, '^[0-9,.]*[0-9]'), ',', '') AS DECIMAL(24,6)) * CASE lower(regexp_extract(t, '[^0-9,.\s]+$')) WHEN 'thousand' THEN 1000 WHEN 'million' THEN 1000000 WHEN 'billion' THEN 1000000000 WHEN 'trillion' THEN 1000000000000
-WHEN '천' THEN 1000 WHEN '만' THEN 10000 WHEN '백만' THEN 1000000 WHEN '억' THEN 100000000 WHEN '조' THEN 1000000000000 ELSE 1 END::DECIMAL(13,0))::DECIMAL(38,6) AS x FROM m)
-SELECT doc_id, string_agg(x::VARCHAR, ' ' ORDER BY x) AS quantities FROM v WHERE x IS NOT NULL GROUP BY doc_id""")
+n AS (SELECT doc_id, replace(regexp_extract(t, '^[0-9,.]*[0-9]'), ',', '') AS x, CASE lower(regexp_extract(t, '[^0-9,.\s]+$')) WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 WHEN 'trillion' THEN 12
+WHEN '천' THEN 3 WHEN '만' THEN 4 WHEN '백만' THEN 6 WHEN '억' THEN 8 WHEN '조' THEN 12 ELSE 0 END AS p FROM m),
+k AS (SELECT doc_id, p - length(split_part(x, '.', 2)) AS e, ltrim(split_part(x, '.', 1) || split_part(x, '.', 2), '0') AS d FROM n),
+v AS (SELECT DISTINCT doc_id, rtrim(d, '0') AS m, CASE WHEN d = '' THEN NULL ELSE e + length(d) END AS place FROM k)
+SELECT doc_id, string_agg(CASE WHEN m = '' THEN '0' ELSE m || 'e' || (place - length(m)) END, ' ' ORDER BY place NULLS FIRST, m) AS quantities FROM v GROUP BY doc_id""")
 def t14(spark, d):
     rows = _documents(spark, d).select("doc_id", f.scaled_quantities(F.col("text")).alias("q")).filter(F.size("q") > 0)
-    return rows.select("doc_id", F.concat_ws(" ", F.transform("q", lambda x: x.cast("string"))).alias("quantities"))
+    return rows.select("doc_id", F.concat_ws(" ", "q").alias("quantities"))
 
 
 @query("t15_units", """SELECT event_id, u.unit, u.code, u.factor::BIGINT AS factor, u.kind FROM events JOIN (VALUES (0, 'USD', 'USD', 1, NULL), (1, 'million units', NULL, 1000000, 'count'), (2, '%', NULL, 1, 'percent'), (3, ' Euros ', 'EUR', 1, NULL),
@@ -224,21 +227,27 @@ l AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER B
 UNION ALL SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ss QUALIFY rank <= 24),
 fs AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM fs),
-fv AS (SELECT *, min(rank) FILTER (item_id % 7 = 3) OVER (PARTITION BY query_id) AS fst FROM fr),
+fw AS (SELECT *, CASE WHEN item_id % 7 = 3 THEN row_number() OVER (PARTITION BY query_id, item_id % 7 = 3 ORDER BY item_id // 7 % 5 DESC, score DESC, item_id) END AS vr FROM fr),
+fv AS (SELECT *, min(rank) FILTER (vr = 1) OVER (PARTITION BY query_id) AS fst FROM fw),
 gate AS (SELECT query_id, item_id, least(rank, 32)::INT AS slot FROM fv WHERE rank < 32 OR (rank = 32 AND coalesce(fst <= 32, true)) OR (rank > 32 AND rank = fst))"""
 _RERANKED = _RANKED + """, tok AS (SELECT vec_id, k, v[k * 16 + 1:k * 16 + 16] AS t FROM e, range(4) r(k)),
 ms AS (SELECT query_id, item_id, round(avg(best), 6) AS max_sim FROM (SELECT query_id, item_id, a.k, max(list_dot_product(a.t, b.t)) AS best FROM gate JOIN tok a ON a.vec_id = query_id JOIN tok b ON b.vec_id = item_id GROUP BY ALL) GROUP BY ALL),
 rr AS (SELECT query_id, item_id, max_sim, row_number() OVER (PARTITION BY query_id ORDER BY max_sim DESC, item_id)::INT AS rank FROM ms)"""
 
 
+def _visual():
+    return F.expr("CASE WHEN item_id % 7 = 3 THEN item_id div 7 % 5 END")
+
+
 def _gate(spark, d):
     v = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    dense = V.top_k(V.dense_scores(v, v.filter("id % 20 = 0")), config.DENSE_K)
+    dense = V.dense_top_k(v, v.filter("id % 20 = 0"), config.DENSE_K)
     terms = v.select(F.col("id").alias("item_id"), F.posexplode("vector").alias("term", "weight")).filter("weight > 0.125").withColumn("weight", F.col("weight").cast("double"))
     asked = terms.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
     sparse = V.top_k(V.sparse_scores(terms, asked), config.SPARSE_K)
     fused = V.reciprocal_rank_fusion([dense, sparse])
-    return V.candidate_gate(fused.withColumn("visual", F.col("item_id") % 7 == 3), config.FUSION_CANDIDATES)
+    visuals = V.rank_visuals(fused, _visual())
+    return V.candidate_gate(visuals, config.FUSION_CANDIDATES)
 
 
 def _reranked(spark, d):
@@ -260,32 +269,51 @@ def r6(spark, d):
 @query("r7_multi_query_fusion", f"""WITH {_RERANKED}, s AS (SELECT query_id // 100 AS request, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM rr GROUP BY ALL)
 SELECT request, item_id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, item_id)::INT AS rank FROM s""")
 def r7(spark, d):
-    return V.multi_query_fusion(_reranked(spark, d).withColumn("request", F.floor(F.col("query_id") / 100)), "request")
+    return _fused(_reranked(spark, d))
+
+
+def _fused(ranked):
+    return V.multi_query_fusion(ranked.withColumn("request", F.floor(F.col("query_id") / 100)), "request")
+
+
+def _reserved(ranked):
+    """Queries whose id leaves 0 when divided by 40 stand for those that name a table or figure."""
+    visuals = V.rank_visuals(ranked, _visual()).withColumns({"request": F.floor(F.col("query_id") / 100), "explicit": F.col("query_id") % 40 == 0})
+    return V.reserved_visuals(visuals, "request")
 
 
 _REQUESTS = """, s AS (SELECT query_id // 100 AS request, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM rr GROUP BY ALL),
 ar AS (SELECT request, item_id, row_number() OVER (PARTITION BY request ORDER BY score DESC, item_id)::INT AS rank FROM s),
-bv AS (SELECT query_id, item_id FROM rr WHERE item_id % 7 = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1)"""
+bv AS (SELECT query_id, item_id FROM rr WHERE item_id % 7 = 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY item_id // 7 % 5 DESC, rank) = 1),
+rw AS (SELECT query_id // 100 AS request, item_id, min(query_id) FILTER (query_id % 40 = 0) AS told, count(*) AS n FROM bv GROUP BY ALL),
+rv AS (SELECT * FROM rw QUALIFY row_number() OVER (PARTITION BY request ORDER BY told NULLS LAST, n DESC, item_id) <= 2)"""
 
 
-@query("r10_visual_reservation", f"""WITH {_RERANKED}{_REQUESTS} SELECT request, item_id FROM (SELECT query_id // 100 AS request, item_id, count(*) AS n FROM bv GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY request ORDER BY n DESC, item_id) <= 2""")
+@query("r10_visual_reservation", f"WITH {_RERANKED}{_REQUESTS} SELECT request, item_id FROM rv")
 def r10(spark, d):
-    """The best visual of each query; of these the two that most queries of a request name."""
-    best = V.top_k(_reranked(spark, d).filter("item_id % 7 = 3"), 1)
-    fused = V.multi_query_fusion(best.withColumn("request", F.floor(F.col("query_id") / 100)), "request")
-    return fused.filter("rank <= 2").select("request", "item_id")
+    """The best visual of each query; of these, those of queries that name one, then those that most queries have."""
+    return _reserved(_reranked(spark, d)).select("request", "item_id")
 
 
 @query("r11_full_retrieval")
 def r11(spark, d):
-    """Gate, rerank, fusion over a request's queries, then eight diverse items that include the reserved visuals."""
-    fused = r7(spark, d).withColumnRenamed("request", "query_id")
+    """Gate, rerank, fusion over a request's queries, then eight diverse items that include the reserved visuals.
+
+    The reranked lists are written once; what follows reads them.  Each item comes with its trace: the fused place, and the
+    best dense-and-sparse slot and MaxSim of the request's queries."""
+    gate = written(_gate(spark, d), "gate")
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, 16))
+    ranked = written(V.rerank(gate, _vectors(spark, d).select(F.col("vec_id").alias("id"), tokens.alias("tokens"))), "reranked")
+    fused = written(_fused(ranked).withColumnRenamed("request", "query_id"), "fused")
     vectors = _vectors(spark, d).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    selected = V.mmr(fused.join(vectors, "item_id").select("query_id", "item_id", "score", "vector"), config.PAPER_HITS)
-    places = fused.select("query_id", "item_id", F.col("rank").alias("place"))
-    reserved = r10(spark, d).withColumnRenamed("request", "query_id").join(places, ["query_id", "item_id"])
-    return V.reserve(selected, reserved).withColumnRenamed("query_id", "request")
+    selected = written(V.mmr(fused.join(vectors, "item_id").select("query_id", "item_id", "score", "vector"), config.PAPER_HITS), "diverse")
+    reserved = _reserved(ranked).withColumnRenamed("request", "query_id")
+    places = fused.select("query_id", "item_id", F.col("rank").alias("fused_place"))
+    hits = V.reserve(selected, reserved.join(places, ["query_id", "item_id"]).select("query_id", "item_id", "place"))
+    trace = ranked.join(gate.select("query_id", "item_id", "slot"), ["query_id", "item_id"]).groupBy(F.floor(F.col("query_id") / 100).alias("query_id"), "item_id").agg(F.min("slot").alias("best_slot"), F.max("max_sim").alias("best_max_sim"))
+    held = reserved.select("query_id", "item_id", F.lit(True).alias("held"))
+    out = hits.join(places, ["query_id", "item_id"]).join(trace, ["query_id", "item_id"]).join(held, ["query_id", "item_id"], "left")
+    return out.select(F.col("query_id").alias("request"), "item_id", "rank", "fused_place", "best_slot", "best_max_sim", F.coalesce("held", F.lit(False)).alias("reserved"))
 
 
 @query("t32_evidence_method", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id // 5 % 4 IN (0, 3) THEN 'gpu_experiment' ELSE 'measurement' END WHEN 1 THEN 'emulation' WHEN 2 THEN 'simulation' WHEN 3 THEN 'analysis' ELSE 'unknown' END AS method FROM events""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestra import config
+from attestra.operators import dictionary
 from attestra.operators import relations as R
 from attestra.operators import retrieval as V
 
@@ -37,10 +38,10 @@ def j1(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "o_custkey", "o_orderstatus")
 
 
-@query("j2_unresolved_refs", "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j2_unresolved_refs", "SELECT sale_id, client_id FROM sales WHERE client_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM clients WHERE clients.client_id = sales.client_id)")
 def j2(spark, d):
-    orders = _orders(spark, d).select(F.col("o_custkey").alias("c_custkey"))
-    return R.unresolved(_customers(spark, d).select("c_custkey", "c_nationkey"), orders, "c_custkey").select("c_custkey", "c_nationkey")
+    sales = spark.read.parquet(f"{d}/sales.parquet").filter("client_id IS NOT NULL").select("sale_id", "client_id")
+    return R.unresolved(sales, spark.read.parquet(f"{d}/clients.parquet").select("client_id"), "client_id").select("sale_id", "client_id")
 
 
 @query("j3_used_refs", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
@@ -114,9 +115,10 @@ def j14(spark, d):
 
 @query("j15_quote_containment", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def j15(spark, d):
-    """Whole quotes meet texts, short ones too: the short quote list is broadcast once its size is checked."""
-    q = V.bounded(_quotes(spark, d).filter(F.length("text") > 0).select("item_id", F.col("text").alias("quote")))
-    return _documents(spark, d).join(q, F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+    """Whole quotes of any length; each meets the texts that have its key."""
+    texts = _documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    found = dictionary.contained(texts, _quotes(spark, d).select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase")))
+    return found.select(F.col("phrase_id").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 def _vec(spark, d):
@@ -131,7 +133,7 @@ dense AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query
 @query("r2_dense_top_k", f"WITH {_DENSE} SELECT * FROM dense")
 def r2(spark, d):
     v = _vec(spark, d)
-    return V.top_k(V.dense_scores(v, v.filter("id % 20 = 0")), config.DENSE_K)
+    return V.dense_top_k(v, v.filter("id % 20 = 0"), config.DENSE_K)
 
 
 @query("r3_rank_fusion", f"""WITH {_DENSE}, other AS (SELECT query_id, vec_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM embeddings, q QUALIFY rank <= 24)
@@ -143,10 +145,20 @@ def r3(spark, d):
     return V.reciprocal_rank_fusion([r2(spark, d), V.top_k(near, 24)])
 
 
-@query("r8_mmr")
+_COS = "coalesce(list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0), 0)"
+
+
+@query("r8_mmr", f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.v, round({_COS.format('e.v', 'q.v')}, 6) AS score FROM e, e q WHERE q.vec_id % 20 = 0),
+g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 32),
+c AS (SELECT query_id, max(score) AS top, list({{'id': item_id, 'score': score, 'v': v}} ORDER BY item_id) AS xs FROM g GROUP BY query_id),
+f AS (SELECT query_id, 0 AS k, []::STRUCT(m DOUBLE, r DOUBLE, id BIGINT, v DOUBLE[])[] AS got FROM c
+  UNION ALL SELECT f.query_id, f.k + 1, list_append(f.got, list_sort(list_transform(list_filter(c.xs, lambda x: NOT list_contains(list_transform(f.got, lambda o: o.id), x.id)),
+    lambda x: {{'m': -round(0.7 * x.score / c.top - 0.3 * coalesce(list_max(list_transform(f.got, lambda o: round({_COS.format('o.v', 'x.v')}, 6))), 0), 9), 'r': -x.score, 'id': x.id, 'v': x.v}}))[1]) FROM f JOIN c ON c.query_id = f.query_id WHERE f.k < 8)
+SELECT query_id, o.id AS item_id, rank::INT AS rank FROM (SELECT query_id, unnest(got) AS o, unnest(range(1, 9)) AS rank FROM f WHERE k = 8)""")
 def r8(spark, d):
     v = _vec(spark, d)
-    gate = V.top_k(V.dense_scores(v, v.filter("id % 20 = 0")), config.FUSION_CANDIDATES)
+    gate = V.dense_top_k(v, v.filter("id % 20 = 0"), config.FUSION_CANDIDATES)
     return V.mmr(gate.join(v.select(F.col("id").alias("item_id"), "vector"), "item_id").select("query_id", "item_id", "score", "vector"), 8)
 
 
@@ -283,11 +295,10 @@ def a22(spark, d):
     return R.prefer_current(best("view"), best("purchase"), "user_id", ["value"])
 
 
-@query("a23_set_difference", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'")
+@query("a23_set_difference", "SELECT client_id FROM clicks WHERE kind = 'error' EXCEPT SELECT client_id FROM clicks WHERE kind = 'signup'")
 def a23(spark, d):
-    cut = F.lit("1997-01-01").cast("timestamp")
-    rows = _lines(spark, d)
-    return rows.filter(F.col("l_shipdate") >= cut).select("l_partkey").subtract(rows.filter(F.col("l_shipdate") < cut).select("l_partkey"))
+    rows = spark.read.parquet(f"{d}/clicks.parquet")
+    return rows.filter("kind = 'error'").select("client_id").subtract(rows.filter("kind = 'signup'").select("client_id"))
 
 
 @query("a27_budget_arithmetic", "SELECT user_id, greatest(max(value), avg(value)) AS used, greatest(100 - max(value), 0) AS remaining FROM (SELECT user_id, round(value, 2) AS value FROM events) GROUP BY user_id")
@@ -315,12 +326,12 @@ def w4(spark, d):
     return _events(spark, d).filter("event_type = 'error'").withColumn("attempt", F.row_number().over(w)).filter("attempt <= 2").select("user_id", "event_id", "attempt")
 
 
-@query("v2_numeric_support", r"""WITH c AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS token FROM benchmark), t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS token FROM documents)
-SELECT item_id, token, token IN (SELECT token FROM t) AS supported FROM c""")
+@query("v2_numeric_support", r"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS token FROM documents), t AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[0-9]+')) AS token FROM pages)
+SELECT doc_id, token, token IN (SELECT token FROM t) AS supported FROM c""")
 def v2(spark, d):
-    numbers = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("token"))
-    have = numbers(_documents(spark, d)).distinct().withColumn("hit", F.lit(True))
-    return numbers(_quotes(spark, d), "item_id").join(have, "token", "left").select("item_id", "token", F.coalesce("hit", F.lit(False)).alias("supported"))
+    numbers = lambda df, text, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)))).alias("token"))
+    have = numbers(spark.read.parquet(f"{d}/pages.parquet"), "html").distinct().withColumn("hit", F.lit(True))
+    return numbers(_documents(spark, d), "text", "doc_id").join(have, "token", "left").select("doc_id", "token", F.coalesce("hit", F.lit(False)).alias("supported"))
 
 
 @query("v4_comparability", "SELECT l_orderkey, count(DISTINCT l_returnflag) <= 1 AND count(DISTINCT l_linestatus) <= 1 AND count(DISTINCT l_tax) <= 1 AS comparable FROM lineitem GROUP BY l_orderkey")

@@ -25,7 +25,8 @@ def test_dates(spark):
 
 def test_quantities(spark):
     got = one(spark, f.scaled_quantities, "3 million and 3,000,000 or 1.5 thousand", "x9 3억", "", None, "9" * 30)
-    assert [[int(v) for v in row] for row in got] == [[1500, 3000000], [300000000], [], [], []]
+    assert got == [["15e2", "3e6"], ["3e8"], [], [], ["9" * 30 + "e0"]]
+    assert one(spark, f.scaled_quantities, "12345678901234567890 million 7 0.50 0 0.5") == [["0", "5e-1", "7e0", "1234567890123456789e7"]]
 
 
 def test_missing_and_units(spark):
@@ -55,9 +56,11 @@ def test_aliases(spark):
 
 
 def test_gate(spark):
-    fused = spark.createDataFrame([(1, i, 1.0 / i, i in (5, 6)) for i in range(1, 7)] + [(2, i, 1.0, i == 1) for i in range(1, 5)], "query_id int, item_id int, score double, visual boolean")
-    got = V.candidate_gate(fused, 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("slot", "item_id"))).alias("x"))
-    assert {r.query_id: [tuple(x) for x in r.x] for r in got.collect()} == {1: [(1, 1), (2, 2), (3, 5)], 2: [(1, 1), (2, 2), (3, 3)]}
+    # the best visual takes the last slot though another one is inside; query 2 has its best one inside, query 3 none at all
+    best = {(1, 2): 2, (1, 5): 1, (1, 6): 3, (2, 1): 1, (2, 4): 2}
+    rows = [(q, i, 1.0 / i, best.get((q, i))) for q in (1, 2, 3) for i in range(1, 7)]
+    got = V.candidate_gate(spark.createDataFrame(rows, "query_id int, item_id int, score double, visual_rank int"), 3).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("slot", "item_id"))).alias("x"))
+    assert {r.query_id: [tuple(x) for x in r.x] for r in got.collect()} == {1: [(1, 1), (2, 2), (3, 5)], 2: [(1, 1), (2, 2), (3, 3)], 3: [(1, 1), (2, 2), (3, 3)]}
 
 
 def test_rerank_ignores_fused_order(spark):

@@ -47,6 +47,7 @@ def test_facets_and_topics(spark):
 def test_title_and_abstract(spark):
     assert one(spark, R.title_line, "\n short\n  A long title  \nAnother title", "x\n" * 12 + "A long title", "", None) == ["A long title", None, None, None]
     assert one(spark, R.abstract_part, "ABSTRACT — We\nshow.\n 1. Introduction", "Abstract: a", "Abstract\n\nIntroduction", None) == ["We\nshow.", None, None, None]
+    assert one(spark, R.abstract_part, "abstract: a  b\r\n\r\n\r\nc\tend\n2\nintroduction") == ["a b\n\nc end\n2"]
     assert len(one(spark, R.abstract_part, "abstract " + "x" * 9000 + "\nIntroduction")[0]) == 8000
 
 
