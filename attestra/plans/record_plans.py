@@ -309,7 +309,7 @@ def r11(spark, d):
     selected = written(V.mmr(fused.join(vectors, "item_id").select("query_id", "item_id", "score", "vector"), config.PAPER_HITS), "diverse")
     reserved = _reserved(ranked).withColumnRenamed("request", "query_id")
     places = fused.select("query_id", "item_id", F.col("rank").alias("fused_place"))
-    hits = V.reserve(selected, reserved.join(places, ["query_id", "item_id"]).select("query_id", "item_id", "place"))
+    hits = V.reserve(selected, reserved.join(places, ["query_id", "item_id"]).select("query_id", "item_id", F.col("fused_place").alias("place")))
     trace = ranked.join(gate.select("query_id", "item_id", "slot"), ["query_id", "item_id"]).groupBy(F.floor(F.col("query_id") / 100).alias("query_id"), "item_id").agg(F.min("slot").alias("best_slot"), F.max("max_sim").alias("best_max_sim"))
     held = reserved.select("query_id", "item_id", F.lit(True).alias("held"))
     out = hits.join(places, ["query_id", "item_id"]).join(trace, ["query_id", "item_id"]).join(held, ["query_id", "item_id"], "left")
