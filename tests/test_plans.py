@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from attestra.plans import chunk_plans, evidence_plans, handoff_plans, index_plans, locator_plans, match_plans, record_plans, relational_plans, relevance_plans, text_plans, tree_plans
+from attestra.plans import chunk_plans, contract_plans, evidence_plans, handoff_plans, index_plans, locator_plans, match_plans, record_plans, relational_plans, relevance_plans, text_plans, tree_plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
-SQL = text_plans.ORACLES | chunk_plans.ORACLES | locator_plans.ORACLES | index_plans.ORACLES | match_plans.ORACLES | tree_plans.ORACLES | relational_plans.ORACLES | evidence_plans.ORACLES | record_plans.ORACLES | relevance_plans.ORACLES | handoff_plans.ORACLES
-RUN = text_plans.QUERIES | chunk_plans.QUERIES | locator_plans.QUERIES | index_plans.QUERIES | match_plans.QUERIES | tree_plans.QUERIES | relational_plans.QUERIES | evidence_plans.QUERIES | record_plans.QUERIES | relevance_plans.QUERIES | handoff_plans.QUERIES
+SQL = text_plans.ORACLES | chunk_plans.ORACLES | locator_plans.ORACLES | index_plans.ORACLES | match_plans.ORACLES | tree_plans.ORACLES | contract_plans.ORACLES | relational_plans.ORACLES | evidence_plans.ORACLES | record_plans.ORACLES | relevance_plans.ORACLES | handoff_plans.ORACLES
+RUN = text_plans.QUERIES | chunk_plans.QUERIES | locator_plans.QUERIES | index_plans.QUERIES | match_plans.QUERIES | tree_plans.QUERIES | contract_plans.QUERIES | relational_plans.QUERIES | evidence_plans.QUERIES | record_plans.QUERIES | relevance_plans.QUERIES | handoff_plans.QUERIES
 
 
 @pytest.fixture(scope="module")
