@@ -273,6 +273,10 @@ def d23(spark, d):
     return rows.select("o_custkey", F.array_join("x", ",").alias("parts"))
 
 
+# the name under which the whole dossier was first asked for
+query("d23_whole_dossier", ORACLES["d23_dossier_assembly"])(d23)
+
+
 @query("d29_unknown_grid", "SELECT r_name, seg, 'unknown' AS status, 'no evidence' AS reason FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer)")
 def d29(spark, d):
     segments = P._customers(spark, d).select(F.col("c_mktsegment").alias("seg")).distinct()
