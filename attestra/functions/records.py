@@ -45,12 +45,21 @@ def lookup(values: dict, key: Column) -> Column:
 
 
 def normalized_date(x: Column) -> Column:
-    """The day of an ISO date or time, a mail date (the day it names), or one of the formats; null for anything else."""
+    """The day of an ISO date or time (with or without hyphens, or by week), a mail date (the day it names), or one of the
+    formats, months in any case; null for anything else."""
     x = F.trim(x)
-    mail = F.regexp_extract(x, r"^(?:[A-Za-z]{3}, )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4}) [0-9]{2}:[0-9]{2}", 1)
+    titled = F.initcap(x)
+    mail = F.regexp_extract(titled, r"^(?:[A-Za-z]{3}, )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4}) [0-9]{2}:[0-9]{2}", 1)
     day = lambda text, form: F.try_to_timestamp(text, F.lit(form)).cast("date")
     iso = day(F.regexp_extract(x, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})($|[T ])", 1), "yyyy-MM-dd")
-    return F.coalesce(iso, day(mail, "d MMM yyyy"), *[day(x, form) for form in DATE_FORMATS])
+    basic = day(F.regexp_extract(x, r"^([0-9]{8})($|T)", 1), "yyyyMMdd")
+    part = lambda k: F.regexp_extract(x, r"^([0-9]{4})(?:-W([0-9]{2})(?:-([1-7]))?|W([0-9]{2})([1-7])?)($|T)", k)
+    year, week = part(1).try_cast("int"), F.concat(part(2), part(4)).try_cast("int")
+    weekday = F.coalesce(F.concat(part(3), part(5)).try_cast("int"), F.lit(1))
+    # the fourth of January is in week 1; a week 53 that a year lacks is in another year
+    found = F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (week - 1) * 7 + weekday - 1)
+    by_week = F.when((week > 0) & (F.extract(F.lit("YEAROFWEEK"), found) == year), found)
+    return F.coalesce(iso, basic, by_week, day(mail, "d MMM yyyy"), *[day(titled, form) for form in DATE_FORMATS])
 
 
 def scaled_quantities(x: Column) -> Column:

@@ -101,3 +101,19 @@ def test_full_retrieval(spark):
         free = [x for x in chosen if x not in held.get(request, set())]
         out = set(free[len(free) - len(lacking):]) if lacking else set()
         assert got[request] == [x for x in chosen if x not in out] + lacking
+
+
+def test_iso_forms_and_months_in_any_case(spark):
+    from datetime import date
+
+    texts = ["20240229", "2024-W01-1", "2024-W53", "2020W537", "2020-W53-7", "2021-W01", "20240230", "2024-W00-1", "2023-12-31T10:00:00", "JANUARY 5, 2024", "5 feb 2024", "Fri, 05 jan 2024 10:00:00 +0000", "W01", "2024-W01-8", None]
+
+    def plain(t):
+        try:
+            return date.fromisoformat(t[:10]) if "-" in t or "W" in t or t.isdigit() else None
+        except ValueError:
+            return None
+
+    want = [plain(t) if t else None for t in texts]
+    want[9:12] = [date(2024, 1, 5), date(2024, 2, 5), date(2024, 1, 5)]
+    assert one(spark, f.normalized_date, *texts) == want
