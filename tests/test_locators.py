@@ -53,16 +53,16 @@ def test_numeric_references(spark):
     assert references(spark, "It reaches 42% here", ["exact"], [passage("exact", "42% measured"), cell]) == ["exact"]
     # spaces and commas in thousands are equal
     assert references(spark, "uses 1,024 tokens of context", ["a"], [passage("a", "a window of 1 024 tokens", element="f", span=False), passage("b", "window 1024", element="f")]) == ["a", "b"]
-    aggregate = passage("figure", "The aggregate evaluation summary contains a 256K result.", page=4, element="figure-05", span=False)
-    narrative = passage("narrative", "The study evaluates five open-source models in total.", page=10, element="p1")
-    decoy = passage("decoy", "The appendix defines five cache budgets for evaluation.", page=11, element="p2")
-    text = "The evaluation covers 5 open-source models across workloads."
+    aggregate = passage("figure", "One summary of all runs has a 256K row.", page=4, element="figure-05", span=False)
+    narrative = passage("narrative", "It compares five public engines in this work.", page=10, element="p1")
+    decoy = passage("decoy", "An annex lists five cooling limits for racks.", page=11, element="p2")
+    text = "This work looks at 5 public engines across workloads."
     assert references(spark, text, ["figure"], [aggregate, narrative, decoy]) == ["figure", "narrative"]
     # another document does not count, and neither does an unknown reference
     assert references(spark, text, ["figure", "gone"], [aggregate, passage("far", narrative[7], document="other")]) == ["figure", "gone"]
-    near, far = passage("near", "models in workloads: 5", page=5, element="p3"), passage("far", "models in workloads: 5", page=9, element="p4")
+    near, far = passage("near", "engines in workloads: 5", page=5, element="p3"), passage("far", "engines in workloads: 5", page=9, element="p4")
     assert references(spark, text, ["figure"], [aggregate, near, far]) == ["figure", "near"]
-    assert references(spark, text, ["figure"], [aggregate, near, passage("near2", "models in workloads: 5", page=3, element="p4")]) == ["figure"]
+    assert references(spark, text, ["figure"], [aggregate, near, passage("near2", "engines in workloads: 5", page=3, element="p4")]) == ["figure"]
     assert references(spark, text, [], [narrative]) == [] and references(spark, None, ["figure"], [aggregate]) == ["figure"]
 
 
@@ -143,15 +143,15 @@ def expand(spark, rows, selected, most=2):
 
 
 def test_context_of_a_table(spark):
-    rows = [chunk("before", "TABLE I summarizes results. Batch sizes {1, 2, 8}.", y0=100.0, y1=220.0), chunk("caption", "TABLE I. TESTING MATRIX", "caption", 236.0, 253.0, "Table I", "caption-1"),
-            chunk("continuation", "2, 8, 16, 32}. Standard contexts", y0=253.2, y1=270.0), chunk("table", "| Model |", "table", 275.0, 430.0, "Table I", None, "caption-1"), chunk("footer", "unrelated", y0=700.0, y1=720.0)]
+    rows = [chunk("before", "TABLE I has all runs, with sizes {1, 2, 8}.", y0=100.0, y1=220.0), chunk("caption", "TABLE I. RUNS AND SIZES", "caption", 236.0, 253.0, "Table I", "caption-1"),
+            chunk("continuation", "2, 8}. Longer runs follow", y0=253.2, y1=270.0), chunk("table", "| Model |", "table", 275.0, 430.0, "Table I", None, "caption-1"), chunk("footer", "unrelated", y0=700.0, y1=720.0)]
     assert expand(spark, rows, ["table", "caption"]) == [("table", "before", 2, 55.0), ("table", "continuation", 3, 5.0)]
     assert expand(spark, rows, ["table"]) == [("table", "caption", 0, 22.0), ("table", "before", 2, 55.0)]
     assert expand(spark, rows, []) == [] and expand(spark, rows, ["before"]) == []
 
 
 def test_context_is_bounded_and_given_once(spark):
-    rows = [chunk("caption", "Table 1. Results", "caption", 200.0, 220.0, "Table 1")] + [chunk(f"n{i}", f"neighbor {i}", y0=221.0 + i, y1=222.0 + i) for i in range(5)]
+    rows = [chunk("caption", "Table 1. Runs", "caption", 200.0, 220.0, "Table 1")] + [chunk(f"n{i}", f"line {i}", y0=221.0 + i, y1=222.0 + i) for i in range(5)]
     assert [x[1] for x in expand(spark, rows, ["caption", "caption"])] == ["n0", "n1"]
     two = rows + [chunk("t1", "|", "table", 218.0, 219.0), chunk("t2", "|", "table", 219.0, 220.0), chunk("bare", "no box")]
     got = expand(spark, two, ["t2", "t1", "caption"])

@@ -50,10 +50,10 @@ def test_names(spark, way):
 
 
 def test_identities(spark, way):
-    technologies = spark.createDataFrame([("rdkv", "RD-KV", "RDKV: A Rate Distortion View of Caches, arXiv:2401.12345v2", "https://arxiv.org/abs/2401.12345"), ("short", "Qx", "Two words", None), ("none", None, None, None)], "tech_id string, name string, paper string, url string")
-    rows = {"name": ("The RD kv study", ""), "title": (None, "we read rdkv a rate-distortion view of caches today"), "number": ("", "see 2401.12345 for more"), "part": ("", "Two words and RDKVs, 12401.12345"), "empty": (None, None)}
+    technologies = spark.createDataFrame([("tierx", "TI-ERX", "TIERX: A Layered View of Slow Caches, arXiv:2401.12345v2", "https://arxiv.org/abs/2401.12345"), ("short", "Qx", "Two words", None), ("none", None, None, None)], "tech_id string, name string, paper string, url string")
+    rows = {"name": ("The TI erx study", ""), "title": (None, "we read tierx a layered-view of slow caches today"), "number": ("", "see 2401.12345 for more"), "part": ("", "Two words and TIERXs, 12401.12345"), "empty": (None, None)}
     sources = spark.createDataFrame([(k, *v) for k, v in rows.items()], "source_id string, title string, excerpt string")
-    assert sorted(map(tuple, D.identities(sources, technologies).collect())) == [("name", "rdkv"), ("number", "rdkv"), ("title", "rdkv")]
+    assert sorted(map(tuple, D.identities(sources, technologies).collect())) == [("name", "tierx"), ("number", "tierx"), ("title", "tierx")]
 
 
 def test_relinked(spark, way):

@@ -40,17 +40,17 @@ def plain_segments(raw, name, terms, topical, size, pad, limit):
 
 def test_segments(spark):
     r = random.Random(11)
-    late = "Navigation menu unrelated links.\n\n" * 600 + "# RDKV deployment\n\nRDKV integration is experimental.\n\nNot supported for production use.\n"
+    late = "A list of links that lead elsewhere.\n\n" * 600 + "# TIERX deployment\n\nTIERX integration remains a trial.\n\nNo warranty for daily work.\n"
     texts = [late, "", None, "no hit at all", "a" * 5000, "word support " * 3000]
-    texts += ["".join(r.choice(["support ", "rdkv ", "filler " * 20, "\n\n", "\n", "# Head ", "\n## Two words\n", "llm ", "é "]) for _ in range(r.randrange(5, 200))) for _ in range(40)]
+    texts += ["".join(r.choice(["support ", "tierx ", "filler " * 20, "\n\n", "\n", "# Head ", "\n## Two words\n", "llm ", "é "]) for _ in range(r.randrange(5, 200))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     for size, pad, limit in ((1400, 500, 12_000), (50, 20, 300)):
         got = {}
-        for x in S.select_segments(df, "id", F.col("text"), F.lit("RDKV"), F.array(F.lit("support"), F.lit("integration")), size=size, pad=pad, limit=limit).orderBy("start").collect():
+        for x in S.select_segments(df, "id", F.col("text"), F.lit("TIERX"), F.array(F.lit("support"), F.lit("integration")), size=size, pad=pad, limit=limit).orderBy("start").collect():
             got.setdefault(x.id, []).append((x.start, x.end, x.text, x.locator))
-        assert got == {i: plain_segments(t or "", "rdkv", ["support", "integration"], S.TOPICAL, size, pad, limit) for i, t in enumerate(texts)}
+        assert got == {i: plain_segments(t or "", "tierx", ["support", "integration"], S.TOPICAL, size, pad, limit) for i, t in enumerate(texts)}
         assert all(sum(b - a for a, b, *_ in x) <= limit for x in got.values())
-    assert any("Not supported for production use" in x[2] and x[3].startswith("RDKV deployment") or "RDKV integration" in x[2] for x in plain_segments(late, "rdkv", ["support", "integration"], S.TOPICAL, 1400, 500, 12_000))
+    assert any("No warranty for daily work" in x[2] and x[3].startswith("TIERX deployment") or "TIERX integration" in x[2] for x in plain_segments(late, "tierx", ["support", "integration"], S.TOPICAL, 1400, 500, 12_000))
 
 
 def plain_bank(rows, quotable, weighty):
