@@ -10,7 +10,7 @@ SCALE_POWERS = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12}
 CURRENCIES = {"usd": "USD", "$": "USD", "dollar": "USD", "dollars": "USD", "us dollar": "USD", "us dollars": "USD", "eur": "EUR", "€": "EUR", "euro": "EUR", "euros": "EUR", "krw": "KRW", "₩": "KRW"}
 CURRENCY = r"USD|EUR|KRW|US dollars?|dollars?|euros?|[$€₩]"
 QUANTITY = rf"(?i)({CURRENCY})?\s*(\d[\d,]*(?:\.\d+)?)\s*(thousand|million|billion|trillion)?\s*({CURRENCY}|units?|modules?|percent|%)?"
-YEAR = r"\b(?:19|20)\d{2}\b"
+YEAR = r"\b(?<!\d\.)(?:19|20)\d{2}\b(?!\.\d)"  # no part of a decimal number
 FORECAST = r"forecast|projected|expected|predict|전망|예상"
 NOT_DEFINING = ("of", "the", "global", "worldwide", "in")
 REASONS = ("definition", "geography", "currency", "dimension", "year", "scope", "capacity", "forecast", "amount", "unit")

@@ -152,7 +152,60 @@ QUOTE = "The global memory module market was worth US dollars 1,200 million in 2
     ({}, "Global memory modules: 1.2 billion units in 2024.", "unit"), ({"unit": "billion units", "currency": None}, "Global memory modules: 1.2 billion units in 2024.", "ok"), ({"unit": "percent", "value": 7.0, "currency": None}, "Global memory modules grew 7% in 2024", "ok"),
     ({}, "Worldwide memory modules reached $1.2 billion, while 3 million units shipped; 2024 was a record", "ok"), ({}, None, "definition"), ({"market_definition": None}, QUOTE, "definition"), ({"value": None}, QUOTE, "amount"),
     ({"value": 12345678901234567890.0, "unit": "USD"}, "Global memory modules: $12345678901234567890 in 2024", "amount"), ({"value": 1e20, "unit": "USD"}, "Global memory modules: $100,000,000 trillion in 2024", "ok"),
+    ({"value": 2024.54, "unit": "USD million"}, "The global memory modules reached USD 2024.54 million in 2023.", "year"), ({"value": 2024.54, "unit": "USD million"}, "The global memory modules reached USD 2024.54 million in 2024.", "ok"),
 ])
 def test_metric_in_quote(spark, change, quote, reason):
     row = spark.createDataFrame([(tuple((BASE | change).values()), quote)], f"m {METRIC}, q string")
     assert row.select(Q.metric_reason(F.col("m"), F.col("q"))).first()[0] == reason
+
+
+# ------------------------------------------------------------------ scores in blocks
+
+
+def plans_no_pairs(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_max_sim_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "TOKEN_BLOCK", 5)
+    r = np.random.default_rng(6)
+    tokens = {i: r.normal(size=(1 + i % 3, 4)) for i in range(23)}
+    rows = spark.createDataFrame([(f"d{i}", p, v.tolist()) for i, t in tokens.items() for p, v in enumerate(t)], "id string, pos int, vector array<double>").repartition(3)
+    df = V.max_sim(rows, rows.filter("substring(id, 2) % 4 = 0"))
+    want = {(f"d{q}", f"d{i}"): float((tokens[q] @ tokens[i].T).max(1).mean()) for q in range(0, 23, 4) for i in range(23)}
+    got = {(x.query_id, x.item_id): x.score for x in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want) and plans_no_pairs(df)
+
+
+def test_sparse_top_k_in_blocks(spark, monkeypatch):
+    for name, n in (("ITEM_BLOCK", 7), ("QUERY_BLOCK", 2), ("QUERY_GROUP", 4), ("TERM_BLOCK", 3)):
+        monkeypatch.setattr(V, name, n)
+    r = random.Random(7)
+    postings = [(i, r.choice("abcdefghijk"), float(r.randrange(-2, 4))) for i in range(50) for _ in range(r.randrange(4))] + [(3, None, 1.0)]
+    items = spark.createDataFrame(postings, "item_id long, term string, weight double").repartition(3)
+    asked = items.filter("item_id % 5 = 0").withColumnRenamed("item_id", "query_id")
+    got = V.sparse_top_k(items, asked, 6)
+    want = V.top_k(V.sparse_scores(items, asked), 6).filter("score IS NOT NULL")
+    rows = lambda df: sorted((x.query_id, x.item_id, x.score, x["rank"]) for x in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 30
+    # one term that all have: the pairs are met in blocks, not joined
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+
+
+def test_nearest_numbers(spark):
+    r = random.Random(8)
+    ids = sorted(r.sample(range(-300, 3000), 70)) + [5000, 9000]
+    df = V.nearest_numbers(spark.createDataFrame([(i,) for i in ids], "item_id long").repartition(5), F.col("item_id") % 3 == 0, 4)
+    want = {(q, i, abs(i - q), k) for q in ids if q % 3 == 0 for k, i in enumerate(sorted(ids, key=lambda i: (abs(i - q), i))[:4], 1)}
+    assert {(x.query_id, x.item_id, -x.score, x["rank"]) for x in df.collect()} == want and plans_no_pairs(df)
+
+
+def test_label_metrics(spark):
+    items = spark.createDataFrame([(i, i % 3 if i != 8 else None) for i in range(40)], "item_id long, label int")
+    queries = items.filter("item_id % 4 = 0").withColumnRenamed("item_id", "query_id")
+    r = random.Random(9)
+    hits = spark.createDataFrame([(q, i, k) for q in range(0, 40, 4) for k, i in enumerate(r.sample(range(40), 12), 1) if q != 4], "query_id long, item_id long, rank int")
+    golden = queries.join(items, "label").select("query_id", "item_id")
+    rows = lambda df: sorted(tuple(x) for x in df.select("query_id", "recall", "ndcg").collect())
+    assert rows(V.label_metrics(hits, items, queries)) == rows(V.retrieval_metrics(hits, golden))
