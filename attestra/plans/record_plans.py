@@ -244,7 +244,7 @@ def _gate(spark, d):
     dense = V.dense_top_k(v, v.filter("id % 20 = 0"), config.DENSE_K)
     terms = v.select(F.col("id").alias("item_id"), F.posexplode("vector").alias("term", "weight")).filter("weight > 0.125").withColumn("weight", F.col("weight").cast("double"))
     asked = terms.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
-    sparse = V.top_k(V.sparse_scores(terms, asked), config.SPARSE_K)
+    sparse = V.sparse_top_k(terms, asked, config.SPARSE_K)
     fused = V.reciprocal_rank_fusion([dense, sparse])
     visuals = V.rank_visuals(fused, _visual())
     return V.candidate_gate(visuals, config.FUSION_CANDIDATES)
