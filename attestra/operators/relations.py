@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_GROUPS, MOST_TASKS = 10_000, 4096  # groups whose sizes are broadcast; tasks that pairs are dealt to
+
 
 def unresolved(refs: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """References whose key is not registered."""
@@ -39,6 +41,27 @@ def pair_coverage(members: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return want.join(have, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def pairs_within(df: DataFrame, group: str, order: str, block: int = 2048) -> DataFrame:
+    """Every two rows of a group as structs ``a`` and ``b``, a's ``order`` the lower; rows whose group or order is null have no pair.
+
+    Blocks of a group meet block by block, each two of them in a group of their own, so that no group, however large, is one
+    task's."""
+    rows = df.filter(F.col(group).isNotNull() & F.col(order).isNotNull())
+    sizes = rows.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("_blocks"))
+    dealt = rows.select(F.col(group).alias("_group"), F.struct(*df.columns).alias("_row"), F.col(order).alias("_order"))
+    dealt = dealt.join(F.broadcast(sizes.withColumnRenamed(group, "_group")), "_group") if sizes.count() <= MOST_GROUPS else dealt.join(sizes.withColumnRenamed(group, "_group"), "_group")
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("_order"), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    met = dealt.withColumn("_other", every).select("_group", "_row", "_order", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
+    # a number of tasks that grows with the pairs: blocks that meet are few rows, so their size says little
+    parts = max(1, min(MOST_TASKS, int(sizes.agg(F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()[0] or 1)))
+    met = met.repartition(parts, "_group", "_x", "_y")
+    left, right = met.alias("l"), met.alias("r")
+    same = (F.col("l._group") == F.col("r._group")) & (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y"))
+    apart = (F.col("l._x") == F.col("l._y")) | (F.col("l._own") != F.col("r._own"))
+    return left.join(right.hint("shuffle_hash"), same & apart & (F.col("l._order") < F.col("r._order"))).select(F.col("l._row").alias("a"), F.col("r._row").alias("b"))
+
+
 def last_wins(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(key).orderBy(*[c.desc() for c in order])

@@ -98,11 +98,12 @@ SELECT p_partkey, s_suppkey, CASE WHEN n = 0 THEN 'none' WHEN n > 1 THEN 'many'
 def j19(spark, d):
     """Parts select suppliers: every third by the nation, the others by the number."""
     parts, suppliers = _parts(spark, d), _suppliers(spark, d)
-    by_nation = parts.filter("p_partkey % 3 = 0").join(suppliers, F.col("s_nationkey") == F.col("p_size"))
-    by_key = parts.filter("p_partkey % 3 > 0").join(suppliers, F.col("s_suppkey") == F.col("p_partkey") % 1000)
-    matches = by_nation.select("p_partkey", "s_suppkey").unionByName(by_key.select("p_partkey", "s_suppkey")).distinct()
+    ends = lambda *key: suppliers.groupBy(*key).agg(F.min("s_suppkey").alias("s_suppkey"), F.max("s_suppkey").alias("last"))
+    by_nation = parts.filter("p_partkey % 3 = 0").join(ends("s_nationkey"), F.col("s_nationkey") == F.col("p_size"))
+    by_key = parts.filter("p_partkey % 3 > 0").join(ends(F.col("s_suppkey").alias("key")), F.col("key") == F.col("p_partkey") % 1000)
+    matches = by_nation.select("p_partkey", "s_suppkey", "last").unionByName(by_key.select("p_partkey", "s_suppkey", "last"))
     selectors = parts.select("p_partkey", F.col("p_partkey").alias("position"))
-    return H.checked_selectors(selectors, matches, "p_partkey", "s_suppkey", "position").select("p_partkey", "s_suppkey", "verdict")
+    return H.checked_selectors(selectors, matches, "p_partkey", "s_suppkey", "position", "last").select("p_partkey", "s_suppkey", "verdict")
 
 
 @query("j23_draft_evidence_match", """WITH e AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 'paper:' || o_custkey || '@' || left(sha256(o_custkey::VARCHAR), 12) ELSE 'common:' || l_suppkey || '@' || left(sha256(s_name), 12) END || ':' || l_partkey AS id,

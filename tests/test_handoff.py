@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import relevance as R
 from attestra.operators import handoff as H
+from attestra.operators import relations
 
 
 def one(spark, column, *values):
@@ -83,3 +84,23 @@ def test_audit_scopes(spark):
     registry = spark.createDataFrame([(1, "a", 1), (1, "e", 2), (1, "e", 2), (2, "a", 9), (3, "a", 1)], "q int, kind string, ref int")
     got = sorted((r.q, r.item_id, r.kind, r.ref) for r in H.audit_scopes(opinions, registry, "q").collect())
     assert got == [(1, "limitations", "a", 1), (1, "limitations", "e", 2), (1, "o", "a", 1), (2, "limitations", "a", 9)]
+
+
+def test_selectors_of_groups(spark):
+    """A group of papers is its least and greatest; the verdicts are those of the single matches."""
+    selectors = spark.createDataFrame([(i, 10 - i) for i in range(8)], "selector int, position int")
+    pairs = [(0, 5), (0, 6), (1, 7), (1, 7), (2, 7), (3, 8), (4, 9), (4, 1), (6, 2)]
+    groups = spark.createDataFrame([(0, 5, 6), (1, 7, 7), (2, 7, 7), (3, 8, 8), (4, 1, 9), (6, 2, 2)], "selector int, paper int, last int")
+    rows = lambda df: sorted(map(tuple, df.select("selector", "verdict", "paper").collect()))
+    got = rows(H.checked_selectors(selectors, groups, "selector", "paper", "position", "last"))
+    assert got == rows(H.checked_selectors(selectors, spark.createDataFrame(pairs, "selector int, paper int"), "selector", "paper", "position"))
+    assert got == [(0, "many", None), (1, "shared", 7), (2, "one", 7), (3, "one", 8), (4, "many", None), (5, "none", None), (6, "one", 2), (7, "none", None)]
+
+
+def test_pairs_within_a_group(spark):
+    rows = spark.createDataFrame([(i, "b" if i % 9 == 0 else "a") for i in range(60)] + [(70, None), (None, "a")], "n int, kind string").repartition(3)
+    df = relations.pairs_within(rows, "kind", "n", 7)
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if (i % 9 == 0) == (j % 9 == 0))
+    assert sorted((x.a.n, x.b.n) for x in df.collect()) == want
+    # the large group is in many tasks
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 20
