@@ -7,9 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 1 << 20
 MOST_GROUPS, MOST_TASKS = 10_000, 4096  # groups whose sizes are broadcast; tasks that pairs are dealt to
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to tasks whose number grows with its rows, so that what a task holds does not."""
+    return df.repartition(max(1, -(-df.count() // ROWS_A_TASK)), *keys)
+
+
 def unresolved(refs: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """References whose key is not registered."""
     return refs.join(registry.select(key).distinct(), key, "left_anti")

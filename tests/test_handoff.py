@@ -104,3 +104,14 @@ def test_pairs_within_a_group(spark):
     assert sorted((x.a.n, x.b.n) for x in df.collect()) == want
     # the large group is in many tasks
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 20
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(relations, "ROWS_A_TASK", 100)
+    assert relations.spread(spark.range(1000), "id").rdd.getNumPartitions() == 10 and relations.spread(spark.range(0), "id").count() == 0
+    registry = spark.createDataFrame([(i % 50, "assessment", i) for i in range(400)] * 2, "run int, kind string, ref int")
+    opinions = spark.createDataFrame([(i, "o", [("assessment", i), ("assessment", i), ("assessment", -1)]) for i in range(20)], "run int, item_id string, refs array<struct<kind:string,ref:int>>")
+    got = H.audit_scopes(opinions, registry, "run")
+    want = {(i, "o", "assessment", i) for i in range(20)} | {(i % 50, "limitations", "assessment", i) for i in range(400) if i % 50 < 20}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
