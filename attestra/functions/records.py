@@ -146,7 +146,8 @@ def evidence_method(mode: Column, hardware: Column) -> Column:
 def lexical_words(x: Column) -> Column:
     """Distinct Latin words of three characters and more, lower case, no marks at their ends, without stop words, sorted."""
     words = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("[A-Za-z][A-Za-z0-9_.+/-]{2,}"), F.lit(0))
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "^[._+/-]+|[._+/-]+$", ""))
+    # a word begins with a letter, so marks are at its end only
+    bare = F.transform(words, lambda w: F.rtrim(F.lower(w), F.lit("._+/-")))
     return F.array_sort(F.array_except(bare, F.array(*map(F.lit, ("", *WORDS_SET_ASIDE)))))
 
 

@@ -26,13 +26,15 @@ NOWHERE = -10_000  # page affinity of a passage without a page
 
 
 def _numbers_of(evidence: DataFrame) -> DataFrame:
-    """(evidence_id, document_id, page, objects, words, number, precise): the inverted index of evidence."""
+    """(evidence_id, document_id, page, objects, words, numbers, exact): a row for each evidence, ``exact`` its precise numbers."""
     cell = lambda c: F.concat(*[normalized_numbers(c[f]) for f in ("raw_text", "row_header", "column_header")])
     cells = F.coalesce(F.flatten(F.transform("cells", cell)), F.array().cast("array<string>"))
     objects = F.filter(F.array_distinct(F.array("element_id", "parent_element_id")), lambda o: o.isNotNull() & (o != ""))
-    rows = evidence.select("evidence_id", "document_id", "page", "kind", "method", "has_span", "has_crop", cells.alias("cells"), objects.alias("objects"), lexical_words(F.col("snippet")).alias("words"), F.explode(normalized_numbers(F.col("snippet"))).alias("number"))
-    precise = F.when(F.col("kind") == "table", F.array_contains("cells", F.col("number"))).when(F.col("method") == "vision", F.col("has_crop")).otherwise(F.col("has_span"))
-    return rows.select("evidence_id", "document_id", "page", "objects", "words", "number", F.coalesce(precise, F.lit(False)).alias("precise"))
+    table, place = F.col("kind").eqNullSafe("table"), F.when(F.col("method") == "vision", F.col("has_crop")).otherwise(F.col("has_span"))
+    rows = evidence.select("evidence_id", "document_id", "page", table.alias("_table"), F.coalesce(place, F.lit(False)).alias("_place"), F.when(table, cells).alias("_cells"), objects.alias("objects"), lexical_words(F.col("snippet")).alias("words"), normalized_numbers(F.col("snippet")).alias("numbers"))
+    # numbers are taken by two branches, so the planner doesn't read the texts anew in either
+    exact = F.when(F.col("_table"), F.array_intersect("numbers", "_cells")).when(F.col("_place"), F.col("numbers")).otherwise(F.array().cast("array<string>"))
+    return rows.select("evidence_id", "document_id", "page", "objects", "words", "numbers", exact.alias("exact"))
 
 
 def _affinity(page: Column, pages: Column) -> list[Column]:
@@ -44,39 +46,39 @@ def _affinity(page: Column, pages: Column) -> list[Column]:
 def numeric_locators(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(claim_id, place, number, evidence_id, how): exact evidence for numbers whose cited evidence is not precise.
 
-    ``claims``: claim_id, text, refs (evidence ids); ``evidence``: unique evidence_id, document_id, page, element_id,
+    ``claims``: unique claim_id, text, refs (evidence ids); ``evidence``: unique evidence_id, document_id, page, element_id,
     parent_element_id, kind, method, snippet, has_span, has_crop, cells (raw_text, row_header, column_header).  ``place`` is
     the number's place in the text.  First the one precise evidence of the same object on the same page as a cited one
     that has the number (how: object); else the one precise evidence of a cited document that shares most words, two at
     least, and is nearest to a cited page (how: document).  Nulls are no numbers, words, pages or objects; unknown refs are
     passed over; an empty side gives an empty result.
     """
-    said = claims.select("claim_id", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), lexical_words(F.col("text")).alias("said"), normalized_numbers(F.col("text")).alias("numbers"))
-    asked = said.select("claim_id", "refs", "said", F.posexplode("numbers").alias("place", "number"))
-    index = written(_numbers_of(evidence), "numbers")  # read three times
-    meta = evidence.select("evidence_id", "document_id", "page")
-    cited = said.select("claim_id", F.explode(F.array_distinct("refs")).alias("evidence_id")).join(meta, "evidence_id")
-    held = asked.select("claim_id", "number").join(cited.select("claim_id", "evidence_id"), "claim_id").join(index.select("evidence_id", "number", "document_id", "page", "objects", "precise"), ["evidence_id", "number"])
-    settled = held.filter("precise").select("claim_id", "number").distinct()
-    pending = asked.join(settled, ["claim_id", "number"], "left_anti")
-    exact = index.filter("precise")
-    free = ~F.array_contains("refs", F.col("evidence_id"))
-    parents = held.select("claim_id", "number", "document_id", F.col("page").alias("page_"), F.explode("objects").alias("object")).distinct()
-    siblings = exact.select("evidence_id", "number", "document_id", "page", F.explode("objects").alias("object"))
-    met = pending.join(parents, ["claim_id", "number"]).join(siblings, ["document_id", "number", "object"]).filter(F.col("page").eqNullSafe(F.col("page_")) & free)
-    one = met.groupBy("claim_id", "number").agg(F.min("place").alias("place"), F.min("evidence_id").alias("evidence_id"), F.max("evidence_id").alias("other")).filter("evidence_id = other")
-    one = one.select("claim_id", "place", "number", "evidence_id", F.lit("object").alias("how"))
-    rest = pending.join(one.select("claim_id", "number"), ["claim_id", "number"], "left_anti")
-    papers = cited.groupBy("claim_id", "document_id").agg(F.collect_set("page").alias("pages"))
-    broad = rest.join(papers, "claim_id").join(exact.select("evidence_id", "number", "document_id", "page", "words"), ["document_id", "number"]).filter(free)
+    asked = claims.select("claim_id", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), lexical_words(F.col("text")).alias("said"), normalized_numbers(F.col("text")).alias("numbers"))
+    asked, index = written(asked, "claims"), written(_numbers_of(evidence), "numbers")  # texts are read once, whatever follows
+    wanted = asked.filter(F.size("numbers") > 0)
+    own = lambda c: F.array_intersect(c, "_wanted").alias(c)
+    cited = wanted.select("claim_id", F.col("numbers").alias("_wanted"), F.explode(F.array_distinct("refs")).alias("evidence_id")).join(index.select("evidence_id", "document_id", "page", "objects", "numbers", "exact"), "evidence_id")
+    cited = cited.select("claim_id", F.struct("document_id", "page", "objects", own("numbers"), own("exact")).alias("cite")).groupBy("claim_id").agg(F.collect_list("cite").alias("cites"))
+    settled = F.flatten(F.col("cites.exact"))
+    numbers = F.transform("numbers", lambda n, i: F.struct(i.cast("int").alias("place"), n.alias("number")))
+    pending = wanted.join(cited, "claim_id").withColumn("_settled", settled).select("claim_id", "refs", "said", "cites", F.filter(numbers, lambda n: ~F.array_contains("_settled", n["number"])).alias("open"))
+    papers = pending.filter(F.size("open") > 0).select("claim_id", "refs", "said", "open", F.explode("cites").alias("cite"))
+    papers = papers.groupBy("claim_id", F.col("cite.document_id").alias("document_id")).agg(*[F.first(c).alias(c) for c in ("refs", "said", "open")], F.collect_set("cite.page").alias("pages"), F.collect_list("cite").alias("cites"))
+    sought = papers.select("claim_id", "document_id", "refs", "said", "pages", "cites", F.explode("open").alias("n")).select("*", "n.place", "n.number").drop("n")
+    exact = index.select("evidence_id", "document_id", "page", "objects", "words", F.explode("exact").alias("number"))
+    # the objects of cited evidence are its document's, so both stages look at the same pairs
+    met = sought.join(exact, ["document_id", "number"]).filter(~F.array_contains("refs", F.col("evidence_id")))
+    same = F.exists("cites", lambda c: c["page"].eqNullSafe(F.col("page")) & F.arrays_overlap(c["objects"], F.col("objects")) & F.array_contains(c["numbers"], F.col("number")))
     here, near = _affinity(F.col("page"), F.col("pages"))
-    shared = F.size(F.array_intersect("said", "words"))
-    scored = broad.select("claim_id", "number", "place", "evidence_id", shared.alias("shared"), here, near).filter(F.col("shared") >= LEAST_WORDS)
+    scored = met.select("claim_id", "number", "place", "evidence_id", same.alias("same"), F.size(F.array_intersect("said", "words")).alias("shared"), here, near)
+    fit = lambda x: F.when(F.col("shared") >= LEAST_WORDS, x)
     best = scored.groupBy("claim_id", "number").agg(
-        F.min("place").alias("place"), F.min(F.struct(-F.col("shared"), -F.col("here"), -F.col("near"), F.col("evidence_id").alias("id"))).alias("low"),
-        F.max(F.struct("shared", "here", "near", F.col("evidence_id").alias("id"))).alias("high"),
-    ).filter("low.id = high.id")
-    return one.unionByName(best.select("claim_id", "place", "number", F.col("low.id").alias("evidence_id"), F.lit("document").alias("how")))
+        F.min("place").alias("place"), F.min(F.when(F.col("same"), F.col("evidence_id"))).alias("one"), F.max(F.when(F.col("same"), F.col("evidence_id"))).alias("other"),
+        F.min(fit(F.struct(-F.col("shared"), -F.col("here"), -F.col("near"), F.col("evidence_id").alias("id")))).alias("low"), F.max(fit(F.struct("shared", "here", "near", F.col("evidence_id").alias("id")))).alias("high"),
+    )
+    by_object, by_document = F.col("one") == F.col("other"), F.col("low.id") == F.col("high.id")
+    found = best.select("claim_id", "place", "number", F.when(by_object, F.col("one")).when(by_document, F.col("low.id")).alias("evidence_id"), F.when(by_object, "object").otherwise("document").alias("how"))
+    return found.filter("evidence_id IS NOT NULL")
 
 
 def with_locators(claims: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import numbers
 from attestra.operators import locators, segments
+from attestra.tables import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,7 +81,7 @@ u AS (SELECT sale_id, number, min(id) AS evidence_id, 'document' AS how FROM r W
 SELECT sale_id::VARCHAR AS claim_id, number, evidence_id, how FROM (SELECT * FROM o UNION ALL SELECT * FROM u)""")
 def j9(spark, d):
     """A claim for each sale, which cites the sale's first line: its least quantity, greatest amount and least vendor."""
-    lines = _lines(spark, d)
+    lines = written(_lines(spark, d), "lines")
     evidence = lines.withColumn("snippet", _said(F.col("goods"), " sold ", F.col("quantity"), " for ", F.col("cents"), " cents by vendor ", F.col("vendor_id"), " ", F.col("flag")))
     claims = lines.groupBy("sale_id").agg(F.min("line_no").alias("line_no"), F.min("quantity").alias("q"), F.max("cents").alias("c"), F.min("vendor_id").alias("v"))
     text = _said("sold ", F.col("q"), " of brand for ", F.col("c"), " cents by vendor ", F.col("v"), " kept")

@@ -112,6 +112,18 @@ def test_numeric_references_against_a_loop(spark):
     assert L.numeric_locators(spark.createDataFrame(claims, "claim_id string, text string, refs array<string>").limit(0), spark.createDataFrame(evidence, EVIDENCE)).count() == 0
 
 
+def test_evidence_is_read_once(spark):
+    """A passage is one row of the index, whatever its numbers, and no join or expression after it reads texts again."""
+    claims = [("c", " or ".join(str(k) for k in range(200)) + " alpha beta", ["cited"])]
+    evidence = [passage("cited", "no number", element="x"), *(passage(f"e{k}", f"{k} alpha beta", element=f"p{k}") for k in range(200)), passage("twin", "7 alpha beta", element="q")]
+    index = L._numbers_of(spark.createDataFrame(evidence, EVIDENCE))
+    assert index.count() == len(evidence) and {x.evidence_id: (x.numbers, x.exact) for x in index.filter("evidence_id IN ('e7', 'cited')").collect()} == {"e7": (["7"], ["7"]), "cited": ([], [])}
+    found = L.numeric_locators(spark.createDataFrame(claims, "claim_id string, text string, refs array<string>"), spark.createDataFrame(evidence, EVIDENCE))
+    assert {(x.place, x.number, x.evidence_id, x.how) for x in found.collect()} == {(k, str(k), f"e{k}", "document") for k in range(200) if k != 7}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and "regexp" not in plan
+
+
 def test_evaluation_modes(spark):
     cited = passage("cited", "Latency falls to 4 ms for the tiered cache prototype", page=4)
     setup = passage("setup", "The tiered cache prototype latency is emulated on servers", page=3)
