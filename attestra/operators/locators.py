@@ -154,30 +154,56 @@ def context_expansion(chunks: DataFrame, selected: DataFrame, most: int = 2) ->
     are neither selected nor given to an anchor before it.  Pages are independent, so each is settled by itself, with one
     row of distances at a time.
     """
-    base = selected.groupBy("request", "chunk_id").agg(F.min("place").alias("place"))
-    rows = base.join(chunks, "chunk_id")
+    page = ["document_id", "document_version", "page"]
+    about = ["chunk_id", "element_id", "parent_element_id", "object_label", "y0", "y1"]
+    base = selected.groupBy("request", "chunk_id").agg(F.min("place").cast("long").alias("place"))
+    rows = written(base.join(chunks.select(*page, *about, "kind"), "chunk_id"), "selected")  # without texts; read four times
     visual = F.col("kind").isin(*VISUAL)
     seen = rows.filter(visual).select("request").distinct()
-    anchors = rows.filter(visual).unionByName(rows.filter("kind = 'caption'").join(seen, "request", "left_anti"))
-    page = ["document_id", "document_version", "page"]
+    anchors = rows.filter(visual).unionByName(rows.filter("kind = 'caption'").join(seen, "request", "left_anti")).select("request", *page, *about, "place", F.lit(None).cast("string").alias("text"), F.lit(True).alias("anchor"))
     key = F.struct(*page)
     pages = anchors.select("request", key.alias("_page")).distinct()
-    others = chunks.filter(F.col("kind").isin(*CONTEXT)).withColumn("_page", key).join(pages, "_page").join(base.select("request", "chunk_id"), ["request", "chunk_id"], "left_anti").drop("_page")
-    columns = ["request", *page, "chunk_id", "text", "element_id", "parent_element_id", "object_label", "y0", "y1", "place"]
-    both = anchors.select(*columns).unionByName(others.withColumn("place", F.lit(None).cast("long")).select(*columns))
-    request = both.schema["request"].dataType.simpleString()
-
-    def settle(table: pa.Table) -> pa.Table:
-        all_rows = table.select(["chunk_id", "text", "element_id", "parent_element_id", "object_label", "y0", "y1", "place"]).to_pylist()
-        own = sorted((r for r in all_rows if r["place"] is not None), key=lambda r: (r["place"], r["chunk_id"]))
-        rest = [r for r in all_rows if r["place"] is None]
-        page = {c: np.array([r[c] or "" for r in rest], object) for c in ("chunk_id", "text", "element_id", "parent_element_id", "object_label")}
-        page |= {c: np.array([np.nan if r[c] is None else r[c] for r in rest], float) for c in ("y0", "y1")}
-        found = neighbours(own, page, most)
+    # what is selected comes to its page and is left out there, so texts need not meet it first
+    others = chunks.filter(F.col("kind").isin(*CONTEXT)).withColumn("_page", key).join(pages, "_page").select("request", *page, *about, F.lit(None).cast("long").alias("place"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("anchor"))
+    chosen = rows.filter(F.col("kind").isin(*CONTEXT)).withColumn("_page", key).join(pages, ["request", "_page"], "left_semi")
+    chosen = chosen.select("request", *page, *about, "place", F.lit(None).cast("string").alias("text"), F.lit(False).alias("anchor"))
+    both = anchors.unionByName(chosen).unionByName(others)
+    request = both.schema["request"].dataType
+    whole = ["request", *page]
+    both = both.repartition(*whole).sortWithinPartitions(*whole)
+
+    def settle(group: list[dict]) -> list[tuple]:
+        own = sorted((r for r in group if r["anchor"]), key=lambda r: (r["place"], r["chunk_id"]))
+        taken = {r["chunk_id"] for r in group if r["text"] is None}
+        rest = [r for r in group if r["text"] is not None and r["chunk_id"] not in taken]
+        if not own or not rest:
+            return []
+        near = {c: np.array([r[c] or "" for r in rest], object) for c in ("chunk_id", "text", "element_id", "parent_element_id", "object_label")}
+        near |= {c: np.array([np.nan if r[c] is None else r[c] for r in rest], float) for c in ("y0", "y1")}
         places: dict[str, int] = {}
-        nth = [places[a] for a, *_ in found if places.update({a: places.get(a, 0) + 1}) is None]
-        head = table.column("request").slice(0, 1).to_pylist() * len(found)
+        out = []
+        for anchor, chunk, relation, distance in neighbours(own, near, most):
+            places[anchor] = places.get(anchor, 0) + 1
+            out.append((own[0]["request"], anchor, chunk, relation, None if np.isinf(distance) else distance, places[anchor]))
+        return out
+
+    def run(batches):
+        at, group = None, []
         names = ["request", "anchor_id", "chunk_id", "relation", "distance", "place"]
-        return pa.table([pa.array(head, table.schema.field("request").type), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))), pa.array([None if np.isinf(f[3]) else f[3] for f in found], pa.float64()), pa.array(nth, pa.int32())], names=names)
 
-    return both.groupBy("request", *page).applyInArrow(settle, f"request {request}, anchor_id string, chunk_id string, relation int, distance double, place int")
+        def table(found, kind):
+            kinds = (kind, pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=names)
+
+        for batch in batches:  # pages come in order; one that goes on in the next batch waits for it
+            kind, found = batch.schema.field("request").type, []
+            for r in batch.to_pylist():
+                if (own := tuple(r[c] for c in whole)) != at:
+                    found += settle(group)
+                    at, group = own, []
+                group.append(r)
+            yield table(found, kind)
+        if group:
+            yield table(settle(group), kind)
+
+    return both.mapInArrow(run, f"request {request.simpleString()}, anchor_id string, chunk_id string, relation int, distance double, place int")

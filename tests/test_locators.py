@@ -171,6 +171,19 @@ def test_context_is_bounded_and_given_once(spark):
     assert expand(spark, two, ["t1"], most=0) == []
 
 
+def test_pages_of_any_batch(spark):
+    """Pages stream through a task one after the other, and one that is cut by a batch stays whole."""
+    rows = [chunk(f"p{p:02}-{k}", f"line {k}", "table" if k == 3 else "text", float(k), k + 0.5, page=p) for p in range(20) for k in range(8)]
+    selected = spark.createDataFrame([("r", f"p{p:02}-{k}", k) for p in range(20) for k in (2, 3)], "request string, chunk_id string, place long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = L.context_expansion(spark.createDataFrame(rows, CHUNKS), selected)
+        assert sorted(tuple(x)[1:] for x in found.collect()) == [(f"p{p:02}-3", f"p{p:02}-{k}", 3, d, n) for p in range(20) for k, d, n in ((1, 1.5, 2), (4, 0.5, 1))]
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_neighbours_against_sorting():
     r = random.Random(6)
     for _ in range(30):
